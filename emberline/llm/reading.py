@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from emberline.session import cut
 
-MAX_GRADE = 18
-QUANTILES = (0.25, 0.5, 0.65, 0.75, 0.85, 0.95)
+MAX_GRADE = 30
+QUANTILES = (0.25, 0.5, 0.65, 0.75, 0.85, 0.9, 0.95)
 WORD = r"\p{L}[\p{L}'’]*"
 
 
@@ -113,11 +113,11 @@ def word_quantiles(rows: DataFrame, grades: DataFrame) -> DataFrame:
 def calibrate(rows: DataFrame, ridge: float = 1e-3) -> np.ndarray:
     """Coefficients (constant first) of the seed on the quantiles, by least squares over all rows.
 
-    Only sums of products come to the driver. Seeds are cut to 0..MAX_GRADE, as grades beyond carry no order.
+    Only sums of products come to the driver. Seeds are cut to -3..MAX_GRADE + 10, against texts of one endless sentence.
     """
     k = len(QUANTILES) + 2
     x = [F.lit(1.0), *[F.element_at("q", i + 1) for i in range(k - 1)]]
-    y = F.greatest(F.lit(0.0), F.least(F.lit(float(MAX_GRADE)), F.col("seed")))
+    y = F.greatest(F.lit(-3.0), F.least(F.lit(float(MAX_GRADE + 10)), F.col("seed")))
     sums = [F.sum(x[i] * x[j]).alias(f"x{i}_{j}") for i in range(k) for j in range(i, k)]
     got = rows.agg(F.count("*").alias("n"), *sums, *[F.sum(x[i] * y).alias(f"y{i}") for i in range(k)]).first()
     if not got["n"]:
