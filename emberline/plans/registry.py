@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.plans import nested_records
+from emberline.plans import chips, detections, nested_records
 
-MODULES = (nested_records,)
+MODULES = (detections, chips, nested_records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
