@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+MAX_PROMPTS = 5000
+
 
 def dot(a: Column, b: Column) -> Column:
     """Sum of products in double precision; NULL if the lengths differ or an element is NULL."""
@@ -32,13 +36,32 @@ def two_way_softmax(first: Column, second: Column) -> Column:
 def prompt_scores(rows: DataFrame, key: str, vector: str, prompts: DataFrame, klass: str, prompt_vector: str) -> DataFrame:
     """key, class, score: the greatest cosine over each class's prompts.
 
-    prompts is a fixed set of unit vectors (classes x templates), small by construction and broadcast: every row needs
-    every class. The maximum over a class's prompts is taken inside the row, so nothing is shuffled.
+    prompts is a set of at most MAX_PROMPTS unit vectors (checked), laid beside each row as a literal: every row needs
+    every class, and the maximum over a class's prompts is taken inside the row, so nothing is joined or shuffled.
     """
-    per_class = prompts.groupBy(F.col(klass).alias("class")).agg(F.collect_list(prompt_vector).alias("prompts"))
-    pairs = rows.select(key, F.col(vector).alias("__v")).crossJoin(F.broadcast(per_class))
-    score = F.array_max(F.transform("prompts", lambda p: dot(F.col("__v"), p)))
-    return pairs.select(key, "class", score.alias("score"))
+    listed = prompts.select(F.col(klass).alias("c"), F.col(prompt_vector).cast("array<double>").alias("v")).limit(MAX_PROMPTS + 1).collect()
+    if len(listed) > MAX_PROMPTS:
+        raise ValueError(f"more than {MAX_PROMPTS} prompts")
+    by_class: dict[object, list[list[float]]] = {}
+    for r in listed:
+        by_class.setdefault(r["c"], []).append(list(r["v"]))
+    names = sorted(by_class)
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast([np.array(by_class[c]) for c in names])  # bounded above
+
+    @F.pandas_udf("array<double>")
+    def best(column: pd.Series) -> pd.Series:
+        known = np.array([v is not None for v in column], dtype=bool)
+        out = np.full((len(column), len(names)), np.nan)
+        if known.any():
+            x = np.vstack([np.asarray(v, dtype=float) for v in column[known]])
+            for j, p in enumerate(shared.value):
+                out[known, j] = (x @ p.T).max(axis=1)
+        return pd.Series([row if ok else None for row, ok in zip(out, known, strict=True)])
+
+    kind = prompts.schema[klass].dataType
+    scored = rows.select(key, F.posexplode(best(F.col(vector))).alias("i", "score"))
+    return scored.select(key, F.element_at(F.array(*map(F.lit, names)), F.col("i") + 1).cast(kind).alias("class"), "score")
 
 
 def top_string(scores: DataFrame, key: str, k: int = 5, form: str = "%s=%.3f") -> DataFrame:

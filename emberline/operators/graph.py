@@ -11,6 +11,7 @@ from emberline.functions.text import graded_match
 from emberline.session import cut
 
 ZONES = ("Zone_0", "Zone_1", "Zone_2")
+MAX_OBJECTS = 2000
 
 
 def expand_scope(rows: DataFrame, column: str, everything: str = "ALL", values: Sequence[str] = ZONES) -> DataFrame:
@@ -24,14 +25,28 @@ def scored_edges(
 ) -> DataFrame:
     """src, dst, relation, confidence for every object and rule text whose graded match reaches `least`.
 
-    objects: object_class, aliases (a taxonomy, broadcast only if Spark finds it small); rules: rule_id, text. The
-    match is a substring test without an equality, so every rule text meets every object: with the default floor all
-    pairs are kept, as each object is governed by each rule to some degree.
+    objects: object_class, aliases, a taxonomy of at most MAX_OBJECTS rows (checked), which is laid beside each text as
+    a literal: the match is a substring test without an equality, so every rule is tested against every object inside
+    its row, without a join. With the default floor all pairs are kept, as each object is governed by each rule to
+    some degree.
     """
-    pairs = rules.select("rule_id", "text").join(objects.select("object_class", "aliases"), how="cross")
-    confidence = graded_match(F.col("text"), F.col("object_class"), F.col("aliases"), categories, floor)
-    out = pairs.select(F.col("object_class").alias("src"), F.col("rule_id").alias("dst"), F.lit(relation).alias("relation"), confidence.alias("confidence"))
-    return out.filter(F.col("confidence") >= least)
+    taxonomy = objects.select("object_class", "aliases").limit(MAX_OBJECTS + 1).collect()
+    if len(taxonomy) > MAX_OBJECTS:
+        raise ValueError(f"more than {MAX_OBJECTS} objects")
+    if not taxonomy:
+        return rules.select(F.lit("").alias("src"), F.col("rule_id").alias("dst"), F.lit(relation).alias("relation"), F.lit(0.0).alias("confidence")).limit(0)
+    listed = F.array(
+        *[
+            F.struct(F.lit(o["object_class"]).alias("src"), F.array(*map(F.lit, o["aliases"] or [])).cast("array<string>").alias("aliases"))
+            for o in taxonomy
+        ]
+    )
+    rated = F.transform(
+        listed, lambda o: F.struct(o["src"].alias("src"), graded_match(F.col("text"), o["src"], o["aliases"], categories, floor).alias("confidence"))
+    )
+    kept = F.filter(rated, lambda x: x["confidence"] >= least)
+    out = rules.select("rule_id", F.explode(kept).alias("m"))
+    return out.select(F.col("m.src").alias("src"), F.col("rule_id").alias("dst"), F.lit(relation).alias("relation"), F.col("m.confidence").alias("confidence"))
 
 
 def upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
