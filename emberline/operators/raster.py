@@ -75,7 +75,10 @@ def not_blank(stats: DataFrame, zero_limit: float = 0.6, missing_limit: float =
 
 
 def largest_region(mask: np.ndarray) -> tuple[int, int, int, int] | None:
-    """(y0, x0, y1, x1), ends included, of the largest 8-connected region after closing gaps of up to 4 pixels."""
+    """(y0, x0, y1, x1), ends included, of the largest 8-connected region after closing gaps of up to 4 pixels.
+
+    Outside the raster counts as empty when the mask grows and as full when it shrinks again.
+    """
     if mask.size == 0 or not mask.any():
         return None
 

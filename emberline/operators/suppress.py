@@ -63,9 +63,10 @@ def suppress(
                 frame = pd.concat([held, frame], ignore_index=True)
             if not len(frame):
                 continue
-            number = frame["__g"].to_numpy()
-            starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
-            yield mask(frame.iloc[: starts[-1]], starts[:-1])
+            g, h = frame["__g"].to_numpy(), frame["__h"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (h[1:] != h[:-1])])
+            if len(starts) > 1:
+                yield mask(frame.iloc[: starts[-1]], starts[:-1])
             held = frame.iloc[starts[-1] :]  # the last group may go on in the next batch; it has at most `most` rows
         if held is not None and len(held):
             yield mask(held, np.array([0]))
@@ -79,10 +80,10 @@ def suppress(
                 keep[a:z] = kept(boxes[a:z], threshold)
         return frame[keep]
 
-    # groups lie together, in rank order, and are told apart by a hash of theirs and, should two hashes meet, by the group
-    grouped = small_rows.withColumn("__g", F.xxhash64(*group, F.lit(7)))
-    sorted_rows = grouped.repartition(*group).sortWithinPartitions("__g", *group, *rank)
-    out = sorted_rows.mapInPandas(run, grouped.schema).drop("__g")
+    # groups lie together, in rank order, told apart by 128 bits of hash
+    grouped = small_rows.withColumns({"__g": F.xxhash64(F.lit(1), *group), "__h": F.xxhash64(F.lit(2), *group)})
+    sorted_rows = grouped.repartition(*group).sortWithinPartitions("__g", "__h", *rank)
+    out = sorted_rows.mapInPandas(run, grouped.schema).drop("__g", "__h")
     if large.limit(1).count():
         out = out.unionByName(_in_rounds(base.alias("x").join(large.alias("y"), on, "left_semi"), group, rank, threshold, cell))
     return out.drop("__box")
