@@ -1 +1 @@
-
+"""Column functions: text rules, boxes, scores, vectors, records."""
