@@ -87,7 +87,7 @@ class Matcher:
     def __init__(self, names: dict[str, list[str]], max_error: float = 0.3):
         import ahocorasick
 
-        if sum(1 + len(v) for v in names.values()) > MAX_NAMES:
+        if sum(1 + len(v or []) for v in names.values()) > MAX_NAMES:
             raise ValueError(f"the reference list has more than {MAX_NAMES} names")
         self.names, self.max_error = names, max_error
         self.automaton = ahocorasick.Automaton()
@@ -211,7 +211,7 @@ def match_values(values: DataFrame, names: dict[str, list[str]], max_error: floa
     `names` leaves every value UNMATCHED; NULL values are dropped.
     """
     spark = values.sparkSession
-    frozen = tuple((k, tuple(v)) for k, v in sorted(names.items()))
+    frozen = tuple((k, tuple(v or ())) for k, v in sorted(names.items()))
     width = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
