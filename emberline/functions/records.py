@@ -19,3 +19,25 @@ def one_row_each(df: DataFrame, key: str) -> DataFrame:
     rest = [c for c in df.columns if c != key]
     kept = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.first(F.struct(*rest)).alias("__row"))
     return kept.select(key, *[F.col(f"__row.`{c}`").alias(c) for c in rest])
+
+
+def merged_maps(base: Column, later: Column) -> Column:
+    """Map of both, the later one's values winning; a NULL map counts as empty (NULL only if both are)."""
+    both = F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(later, k)), later)
+    return F.when(base.isNull(), later).when(later.isNull(), base).otherwise(both)
+
+
+def tagged(array: Column, field: str, value: str) -> Column:
+    """Every struct of the array with the field set to a constant; NULL elements stay NULL."""
+    return F.transform(array, lambda x: F.when(x.isNotNull(), x.withField(field, F.lit(value))))
+
+
+def defaults(array: Column, values: dict[str, str]) -> Column:
+    """Every struct of the array with its NULL text fields filled in."""
+
+    def filled(x: Column) -> Column:
+        for name, value in values.items():
+            x = x.withField(name, F.coalesce(x[name], F.lit(value)))
+        return x
+
+    return F.transform(array, filled)

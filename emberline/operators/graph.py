@@ -158,6 +158,16 @@ def lookup(requests: DataFrame, edges: DataFrame, nodes: DataFrame, severity_ord
     )
 
 
+def combined_context(contexts: DataFrame, classes: Sequence[str], gap: str = "\n\n") -> DataFrame:
+    """zone, context: the texts of a few classes joined, in the order given, per zone; missing ones are left out."""
+    listed = F.array(*map(F.lit, classes))
+    rows = contexts.filter(F.col("canonical").isin(*classes)).groupBy("zone").agg(
+        F.array_sort(F.collect_list(F.struct(F.array_position(listed, F.col("canonical")).alias("i"), "canonical", "context"))).alias("l")
+    )
+    titled = F.transform("l", lambda x: F.concat(F.upper(F.replace(x["canonical"], F.lit("_"), F.lit(" "))), F.lit("\n"), x["context"]))
+    return rows.select("zone", F.array_join(titled, gap).alias("context"))
+
+
 def best_edge(edges: DataFrame, order: str = "dst") -> DataFrame:
     """Per source the edge of greatest confidence; ties go to the least `order`."""
     w = Window.partitionBy("src").orderBy(F.desc("confidence"), order)

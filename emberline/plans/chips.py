@@ -93,6 +93,26 @@ def any_critical(spark: SparkSession, sf: str) -> DataFrame:
     return c.groupBy("zone").agg(F.count_if(hit).alias("n_critical"), F.round(F.avg(F.col("n").cast("double")), 4).alias("mean_findings"))
 
 
+def breakdown_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """Per parcel the class counts of its summaries, later summaries winning per class: size and sum of the merged map.
+
+    The maps are unnested and the last value per class taken by an aggregation, so no parcel's summaries are gathered.
+    """
+    r = table(spark, sf, "results_summary").select("summary_id", "parcel_id", "detection_breakdown").filter("parcel_id is not null and detection_breakdown is not null")
+    entries = r.select("parcel_id", "summary_id", F.explode_outer("detection_breakdown").alias("k", "v"))
+    last = entries.groupBy("parcel_id", "k").agg(F.max_by(F.coalesce("v", F.lit(0)), "summary_id").alias("v"))
+    return last.groupBy("parcel_id").agg(F.count("k").alias("n_classes"), F.sum(F.when(F.col("k").isNotNull(), F.col("v")).otherwise(0)).cast("long").alias("total"))
+
+
+def tagged_detections(spark: SparkSession, sf: str) -> DataFrame:
+    """Summaries' violations with a source tag and defaults in every element, counted."""
+    from emberline.functions.records import defaults, tagged
+
+    r = table(spark, sf, "results_summary").select("summary_id", "violations").distinct()
+    v = r.select("summary_id", F.explode(defaults(tagged(F.col("violations"), "imagery_source", "aerial"), {"confidence": "LOW", "zone": "Zone_2"})).alias("v"))
+    return v.groupBy(F.col("v.imagery_source").alias("source"), F.col("v.confidence").alias("confidence"), F.col("v.zone").alias("zone")).agg(F.count("*").alias("n"))
+
+
 def parcel_meta_once(spark: SparkSession, sf: str) -> DataFrame:
     m = table(spark, sf, "parcel_meta")
     return m.groupBy("parcel_id").agg(
@@ -270,6 +290,12 @@ select tile_id, regexp_replace(tile_path, '\\.png$', '_sr4.png') as tile_path, s
     "resume_pending": "select distinct parcel_id from parcel_meta m where not exists (select 1 from results_summary r where r.parcel_id = m.parcel_id)",
     "default_offsets": f"""with {_META} select t.tile_id, t.parcel_id, coalesce(round(gsd_cm, 3), 0) as gsd_cm, coalesce(n_tiles, 0)::bigint as n_tiles
 from (select distinct tile_id, parcel_id from tile_results) t left join meta m on t.parcel_id = m.parcel_id""",
+    "breakdown_merged": """with e as (select parcel_id, summary_id, unnest(map_entries(detection_breakdown)) as e from results_summary where parcel_id is not null and detection_breakdown is not null),
+l as (select parcel_id, e.key as k, arg_max(coalesce(e.value, 0), summary_id) as v from e group by 1, 2),
+p as (select distinct parcel_id from results_summary where parcel_id is not null and detection_breakdown is not null)
+select p.parcel_id, count(k) as n_classes, coalesce(sum(v), 0)::bigint as total from p left join l on p.parcel_id = l.parcel_id group by 1""",
+    "tagged_detections": """with v as (select unnest(violations) as v from (select distinct summary_id, violations from results_summary))
+select 'aerial' as source, coalesce(v.confidence, 'LOW') as confidence, coalesce(v.zone, 'Zone_2') as zone, count(*) as n from v group by 2, 3""",
     "summary_worst": """with r as (select parcel_id, score, upper(trim(risk_label)) as l from results_summary where upper(trim(risk_label)) in ('NONE', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL')),
 k as (select *, case l when 'NONE' then 0 when 'LOW' then 1 when 'MEDIUM' then 2 when 'HIGH' then 3 else 4 end as o from r)
 select parcel_id, arg_max(l, o) as worst_label, max(score)::bigint as best_score from k group by 1""",
@@ -288,6 +314,6 @@ QUERIES = {
     for f in (
         chip_findings, chip_parcels, chip_zones, chip_top5, class_scores_wide, detected_and_found, violation_counts, any_critical,
         tile_grid_pad, tile_grid_snap, tile_grid_drop, zone_by_box, zone_by_distance, manifest_rescale, resume_pending,
-        default_offsets, summary_worst, surrogate_images, label_batches, status_checklist,
+        default_offsets, summary_worst, breakdown_merged, tagged_detections, surrogate_images, label_batches, status_checklist,
     )
 }

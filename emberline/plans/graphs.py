@@ -97,6 +97,13 @@ def graph_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("canonical", "zone", "n_violations", "severity", F.col("severity_score").cast("long").alias("severity_score"))
 
 
+def graph_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Context of three classes per zone."""
+    asked = findings(spark, sf).select(F.col("object_class").alias("canonical"), "zone").filter("canonical is not null and zone is not null")
+    found = graph.lookup(asked, _edges(spark, sf), _nodes(spark, sf), SEVERITY)
+    return graph.combined_context(found, ("raised_deck", "refuse_cart", "motorhome"))
+
+
 def graph_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """Last severity per (class, violation): chips in order write over the one before."""
     f = chips(spark, sf).select("chip_id", F.explode("compliance_findings").alias("f")).select(
@@ -195,6 +202,10 @@ hop as (select src, count(*) filter (type = 'violation') as nv, max(case when ty
 select canonical, zone, coalesce(nv, 0) as n_violations,
   case coalesce(sc, 0) when 0 then 'NONE' when 1 then 'LOW' when 2 then 'MEDIUM' when 3 then 'HIGH' else 'CRITICAL' end as severity,
   coalesce(sc, 0)::bigint as severity_score from asked left join hop on canonical = src""",
+    "graph_context": f"""with {_GRAPH}, z as (select distinct zone, object_class as c from finding where object_class in ('raised_deck', 'refuse_cart', 'motorhome') and zone is not null),
+l as (select src, string_agg(distinct type || ': ' || dst, chr(10) order by type || ': ' || dst) as t from edge join node on dst = id where type = 'violation' group by 1),
+o as (select zone, c, list_position(['raised_deck', 'refuse_cart', 'motorhome'], c) as i, upper(replace(c, '_', ' ')) || chr(10) || coalesce(t, '') as t from z left join l on src = c)
+select zone, string_agg(t, chr(10) || chr(10) order by i) as context from o group by 1""",
     "graph_upsert": f"""with {_GRAPH} select object_class as src, violation_id as dst,
   arg_max(coalesce(raw_severity, ''), (chip_id, coalesce(raw_severity, ''))) as severity from viol group by 1, 2""",
     "graph_insert_absent": f"""with {_GRAPH}, base as (select * from edge where relation = 'typically_found_in'),
@@ -213,6 +224,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         graph_edges, graph_degree, graph_top_degree, graph_in_edges, graph_gaps, graph_neighbours, graph_induced, graph_two_hops,
-        graph_best_edge, graph_lookup, graph_upsert, graph_insert_absent, capped_cross, band_pairs, components, cluster_extent,
+        graph_best_edge, graph_lookup, graph_context, graph_upsert, graph_insert_absent, capped_cross, band_pairs, components, cluster_extent,
     )
 }
