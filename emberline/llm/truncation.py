@@ -15,10 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.session import cut, staged
+
 # What tools put behind a text that they cut.
 CUT_MARKS = r"(?:\s*(?:\[[a-z .…]+\]|<[a-z .…/]+>|\((?:cut|truncated|continued|more|\.{3}|…)\)|…|\.{3,}|\uFFFD))+\s*$"
 # Lengths of the hashed prefixes; a clause is looked up by the longest that it reaches.
-PREFIX_LENGTHS = (0, 1, 2, 3, 5, 8, 12, 18, 27, 40)
+PREFIX_LENGTHS = (0, 1, 3, 6, 12, 24, 48)
+_BLANKS = " \t\r\n\u00a0"
 
 
 def masked(text: Column) -> Column:
@@ -27,13 +30,20 @@ def masked(text: Column) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"\s+$", "")
+    """Without white space at the end."""
+    return F.rtrim(text, F.lit(_BLANKS))
+
+
+def unmarked(text: Column) -> Column:
+    """Without white space and marks for cutting at the end; only texts that end like a mark meet the pattern."""
+    bare = stripped(text)
+    like = F.right(bare, F.lit(1)).isin("]", ">", ")", "…", "\ufffd") | F.endswith(bare, F.lit("..."))
+    return F.when(like, stripped(F.regexp_replace(bare, CUT_MARKS, ""))).otherwise(bare)
 
 
 def clauses(text: Column) -> Column:
     """The clauses of a text, each with its closing punctuation; the first element is a mark for the beginning."""
-    parts = F.split(stripped(text), r"(?<=[.,:|>()!?—])\s+|(?<=[;\n])\s*|\s*\n\s*")
-    return F.concat(F.array(F.lit("^")), parts)
+    return F.concat(F.array(F.lit("^")), F.split(text, r"(?<=[.,:|>()!?—;])\s+|[ \t\r]*\n\s*|(?<=;)"))
 
 
 def _prefixes(clause: Column) -> Column:
@@ -49,29 +59,18 @@ def _longest(clause: Column) -> Column:
     return F.struct(n.alias("n"), F.xxhash64(F.substring(clause, F.lit(1), n)).alias("h"))
 
 
-def clause_counts(values: DataFrame) -> DataFrame:
+def clause_counts(parts: DataFrame) -> DataFrame:
     """(kind, before, clause) -> ending, going: how many values stop behind the clause and how many go on.
 
-    values: kind, text. Values of one kind are written alike and serve as evidence for each other. One narrow row per clause leaves each text, and partial aggregation reduces them to distinct
-    clauses before the shuffle.
+    parts: kind, c (clauses()). Values of one kind are written alike and serve as evidence for each other. One narrow
+    row per clause leaves each text, and partial aggregation reduces them to distinct clauses before the shuffle.
     """
-    parts = values.select("kind", clauses(masked("text")).alias("c"))
-    pairs = parts.select(
-        "kind",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.size("c") - 1),
-                lambda i: F.struct(
-                    F.xxhash64(F.element_at("c", i)).alias("before"),
-                    F.element_at("c", i + 1).alias("clause"),
-                    (i == F.size("c") - 1).cast("int").alias("last"),
-                ),
-            )
-        ).alias("p"),
-    )
-    return pairs.groupBy("kind", "p.before", "p.clause").agg(
-        F.sum("p.last").alias("ending"), F.sum(1 - F.col("p.last")).alias("going")
+    pairs = F.zip_with(
+        F.slice("c", 1, F.size("c") - 1), F.slice("c", 2, F.size("c") - 1), lambda a, b: F.struct(F.xxhash64(a).alias("before"), b.alias("clause"))
     )
+    rows = parts.select("kind", (F.size("c") - 2).alias("end"), F.posexplode(pairs).alias("i", "p"))
+    last = (F.col("i") == F.col("end")).cast("int")
+    return rows.groupBy("kind", "p.before", "p.clause").agg(F.sum(last).alias("ending"), F.sum(1 - last).alias("going"))
 
 
 def ending_evidence(counts: DataFrame, ends: DataFrame) -> DataFrame:
@@ -107,8 +106,8 @@ def _shares(few: int) -> tuple[Column, Column]:
     return F.when(near >= few, F.col("going") / near), F.when(wide > 0, F.col("going_any") / wide)
 
 
-def find_cut(values: DataFrame, threshold: float = 0.8, few: int = 6) -> DataFrame:
-    """values (kind, text and any other columns) with going_share and is_cut.
+def find_cut(values: DataFrame, threshold: float = 0.8, few: int = 6, keep_text: bool = False) -> DataFrame:
+    """values (kind and any other columns; text if keep_text) with going_share and is_cut.
 
     An end counts as cut when at least `threshold` of the evidence goes on behind it. A mark for cutting (CUT_MARKS)
     is no proof: the text before it is judged, once as it is and once with a full stop (where the same clause before
@@ -117,49 +116,40 @@ def find_cut(values: DataFrame, threshold: float = 0.8, few: int = 6) -> DataFra
     """
     values = values.drop("going_share", "is_cut")
     text = F.col("text")
-    with_kind = values.withColumn("__json", F.instr(text, "{") > 0)
-    bare = F.regexp_replace(stripped(text), CUT_MARKS, "")
-    judged = with_kind.withColumn("__bare", F.when(~F.col("__json"), bare)).withColumn(
-        "__ends",
-        F.when(
-            F.col("__json") | (F.trim("text") == "") | text.isNull(), F.array().cast("array<string>")
-        ).otherwise(
-            F.when(F.col("__bare") == stripped(text), F.array("__bare")).otherwise(
-                F.array("__bare", F.concat("__bare", F.lit(".")))
-            )
+    rest = [c for c in values.columns if c not in ("kind", "text")]
+    braces = lambda b: F.length("text") - F.length(F.replace("text", F.lit(b), F.lit("")))
+    # what stands before a JSON object goes on; its clauses count with the prose of their kind
+    material = F.when(F.contains(text, F.lit("{")), F.concat(F.substring_index(text, "{", 1), F.lit("\n{"))).otherwise(unmarked(text))
+    ready = staged(
+        values.select(
+            *rest,
+            "kind",
+            F.when(F.contains(text, F.lit("{")), (braces("{") > braces("}")).cast("double")).alias("__open"),
+            (unmarked(text) != stripped(text)).alias("__marked"),
+            F.when(material != "", clauses(masked(material))).alias("__c"),
+            *([F.col("text")] if keep_text else []),
         ),
+        "clauses",
     )
-    # What stands before a JSON object goes on; its clauses count with the prose of their kind.
-    material = with_kind.filter((F.trim("text") != "") & text.isNotNull()).select(
-        "kind",
-        F.when(F.col("__json"), F.concat(F.regexp_extract("text", r"^([^{]*)", 1), F.lit("\n{"))).otherwise(text).alias("text"),
-    )
-    counts = clause_counts(material)
-
-    def end_of(column: Column) -> Column:
-        c = clauses(masked(column))
-        return F.struct(
-            F.xxhash64(F.element_at(c, -2)).alias("before"), F.element_at(c, -1).alias("clause")
-        )
-
-    judged = judged.withColumn("__ends", F.transform("__ends", end_of)).drop("__bare")
-    ends = judged.select("kind", F.explode("__ends").alias("e")).select("kind", "e.before", "e.clause")
+    counts = cut(clause_counts(ready.select("kind", F.col("__c").alias("c")).filter("c is not null")))
+    prose = F.col("__open").isNull() & F.col("__c").isNotNull()
+    ended = ready.withColumns(
+        {
+            "__before": F.when(prose, F.xxhash64(F.element_at("__c", -2))),
+            "__clause": F.when(prose, F.element_at("__c", -1)),
+            "__stop": F.when(prose & F.col("__marked"), F.concat(F.element_at("__c", -1), F.lit("."))),
+        }
+    ).drop("__c", "__marked")
+    found = ended.select("kind", F.col("__before").alias("before"), F.explode(F.array("__clause", "__stop")).alias("clause"))
+    ends = cut(found.filter("clause is not null").distinct())
     near, wide = _shares(few)
-    evidence = ending_evidence(counts, ends).select("kind", "before", "clause", near.alias("near"), wide.alias("wide"))
+    evidence = cut(ending_evidence(counts, ends).select("kind", "before", "clause", near.alias("near"), wide.alias("wide")))
 
-    out = judged
-    for k in (1, 2):
-        e = evidence.select(
-            F.col("kind").alias("__k"), F.col("before").alias("__b"), F.col("clause").alias("__c"),
-            (F.coalesce("near", "wide") if k == 1 else F.col("near")).alias(f"__s{k}"),
-        )
-        at = F.get("__ends", F.lit(k - 1))
-        out = out.join(e, (F.col("kind") == F.col("__k")) & (at["before"] == F.col("__b")) & (at["clause"] == F.col("__c")), "left")
-        out = out.drop("__k", "__b", "__c")
-    opened = F.length("text") - F.length(F.replace("text", F.lit("{"), F.lit("")))
-    closed = F.length("text") - F.length(F.replace("text", F.lit("}"), F.lit("")))
+    out = ended
+    for column, share, into in (("__clause", F.coalesce("near", "wide"), "__s1"), ("__stop", F.col("near"), "__s2")):
+        e = evidence.select(F.col("kind").alias("__k"), F.col("before").alias("__b"), F.col("clause").alias("__e"), share.alias(into))
+        on = (F.col("kind") == F.col("__k")) & (F.col("__before") == F.col("__b")) & (F.col(column) == F.col("__e"))
+        out = out.join(e, on, "left").drop("__k", "__b", "__e")
     share = F.least(F.coalesce("__s1", F.lit(0.0)), F.coalesce("__s2", "__s1", F.lit(0.0)))
-    out = out.withColumn("going_share", F.when(F.col("__json"), (opened > closed).cast("double")).otherwise(share))
-    return out.withColumn("is_cut", F.coalesce(F.col("going_share") >= threshold, F.lit(False))).drop(
-        "__json", "__ends", "__s1", "__s2"
-    )
+    out = out.withColumn("going_share", F.coalesce("__open", share))
+    return out.withColumn("is_cut", F.col("going_share") >= threshold).drop("__open", "__before", "__clause", "__stop", "__s1", "__s2")
