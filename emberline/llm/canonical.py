@@ -207,7 +207,8 @@ def reference_list(taxonomy: DataFrame, name: str = "object_class", aliases: str
 def match_values(values: DataFrame, names: dict[str, list[str]], max_error: float = 0.3) -> DataFrame:
     """One row per distinct value of the column `value`: canonical_class, found_by (mention, similar, none), error.
 
-    Matching costs far more than its input is large, so values are spread over all cores whatever their size. An empty
+    Matching costs far more than its input is large, so values are spread over all cores whatever their size (by a hash
+    of their own: the partitioning that distinct() leaves would be merged into few). An empty
     `names` leaves every value UNMATCHED; NULL values are dropped.
     """
     spark = values.sparkSession
@@ -227,7 +228,7 @@ def match_values(values: DataFrame, names: dict[str, list[str]], max_error: floa
                 }
             )
 
-    distinct = values.select("value").filter("value is not null").distinct().repartition(width, "value")
+    distinct = values.select("value").filter("value is not null").distinct().repartition(width, F.xxhash64("value"))
     return distinct.mapInPandas(run, "value string, canonical_class string, found_by string, error double")
 
 
