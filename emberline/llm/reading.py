@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.session import cut
+from emberline.session import cut, staged
 
 MAX_GRADE = 30
 QUANTILES = (0.25, 0.5, 0.65, 0.75, 0.85, 0.9, 0.95)
@@ -28,30 +28,32 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
 
 
-def formula_grade(text: Column) -> Column:
+def formula_grade(text: Column, n_words: Column) -> Column:
     """Grade level by the published formula of words per sentence and syllables per word; NULL without a word.
 
-    Syllables are vowel groups less a silent final e; sentences end at full stops before white space or at blank
-    lines, and need three words to count.
+    Syllables are vowel groups less a silent final e, at least one a word; sentences end at full stops before white
+    space or at blank lines, and count if three words follow each other in them.
     """
     low = F.lower(text)
-    n_words = F.regexp_count(low, F.lit(WORD))
     vowels = F.regexp_count(low, F.lit(r"[aeiouy]+"))
-    silent = F.regexp_count(low, F.lit(r"[aeiouy]\p{L}*[^aeiouyl\W\d_]e\b"))
-    bare = F.regexp_count(low, F.lit(r"\b[^aeiouy\W\d_]+\b"))
+    silent = F.regexp_count(low, F.lit(r"[aeiouy][^aeiouy\W\d_]*[^aeiouyl\W\d_]e\b"))
     parts = F.split(low, r"[.!?]+\s|\n\s*\n")
-    sentences = F.size(F.filter(parts, lambda s: F.regexp_count(s, F.lit(WORD)) >= 3))
-    syllables = F.greatest(vowels - silent + bare, n_words)
+    sentences = F.size(F.filter(parts, lambda s: F.rlike(s, F.lit(r"(?:\p{L}\S*\s+){2}\p{L}"))))
+    syllables = F.greatest(vowels - silent, n_words)
     grade = 0.39 * n_words / F.greatest(sentences, F.lit(1)) + 11.8 * syllables / n_words - 15.59
     return F.when(n_words > 0, grade)
 
 
-def graded_words(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """key, seed, g (seed as a whole grade), word, n: one row per document and distinct word."""
-    base = documents.select(F.col(key).alias("key"), formula_grade(F.col(text)).alias("seed"), words(F.col(text)).alias("w"))
-    base = base.filter(F.size("w") > 0)
+def graded_documents(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """key, w (words), seed (first grade); written once, as several passes read it. Documents without a word leave."""
+    w = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), words(F.col(text)).alias("w")).filter(F.size("w") > 0)
+    return staged(w.select("key", "w", formula_grade(F.col("text"), F.size("w")).alias("seed")), "graded")
+
+
+def graded_words(graded: DataFrame) -> DataFrame:
+    """key, seed, g (seed as a whole grade), word: one row per word of each document."""
     g = F.greatest(F.lit(0), F.least(F.lit(MAX_GRADE), F.round("seed"))).cast("int")
-    return base.select("key", "seed", g.alias("g"), F.explode("w").alias("word"))
+    return graded.select("key", "seed", g.alias("g"), F.explode("w").alias("word"))
 
 
 def acquisition_grades(rows: DataFrame, share: float = 0.2, least: int = 3) -> DataFrame:
@@ -135,18 +137,20 @@ def reading_levels(documents: DataFrame, key: str, text: str) -> DataFrame:
     """key, words, known, seed_grade, grade, band (easy up to grade 5, hard from grade 13, else middle).
 
     documents: of one language. Documents without a word leave; one without a known word keeps its seed as its grade.
-    Keys should be unique; repeated rows of one key count as one longer document.
+    Keys should be unique; of repeated rows of one key the words add up and the
+    grades are averaged.
     """
-    rows = graded_words(documents, key, text)
+    graded = graded_documents(documents, key, text)
+    rows = graded_words(graded)
     grades = cut(acquisition_grades(rows))
     quantiles = cut(word_quantiles(rows, grades))
     beta = calibrate(quantiles)
     level = F.lit(float(beta[0]))
     for i, b in enumerate(beta[1:]):
         level = level + F.lit(float(b)) * F.element_at("q", i + 1)
-    length = documents.select(F.col(key).alias("key"), F.size(words(F.col(text))).alias("w"), formula_grade(F.col(text)).alias("s"))
-    length = length.filter("w > 0").groupBy("key").agg(F.sum("w").alias("words"), F.avg("s").alias("s"))
-    out = length.join(quantiles.withColumn("grade", level), "key", "left")
+    length = graded.groupBy("key").agg(F.sum(F.size("w")).alias("words"), F.avg("seed").alias("s"))
+    quantiles = quantiles.groupBy("key").agg(F.sum("known").alias("known"), F.first("seed").alias("seed"), F.avg(level).alias("grade"))
+    out = length.join(quantiles, "key", "left")
     grade = F.coalesce("grade", "s")
     return out.select(
         "key", "words", F.coalesce("known", F.lit(0)).alias("known"), F.coalesce("seed", "s").alias("seed_grade"), grade.alias("grade"),
