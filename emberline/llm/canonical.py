@@ -32,8 +32,8 @@ _BRACKETS = re.compile(r"\([^)]*\)|\[[^\]]*\]|#\s*\d+")
 _ABBREVIATED = re.compile(r"([^\W\d_]{2,})\.(?=\W|$)")
 
 
-def tokens_of(value: str) -> tuple[list[str], bool]:
-    """Lower-case ASCII tokens of a value, and whether its last word is abbreviated with a full stop.
+def tokens_of(value: str) -> tuple[list[str], set[str]]:
+    """Lower-case ASCII tokens of a value, and those that a full stop abbreviates.
 
     Accents, brackets, running numbers and counts ("2 x") are dropped; digits inside a word are read as the letters
     they look like.
@@ -50,30 +50,36 @@ def tokens_of(value: str) -> tuple[list[str], bool]:
         out.append(word)
     if len(out) > 1 and out[0] == "x":  # a count: "2 x sedan"
         out = out[1:]
-    return out, bool(short)
+    return out, short & set(out)
 
 
-def osa_distance(a: str, b: str, most: int) -> int:
-    """Optimal-string-alignment distance, or most + 1 when it is larger."""
+def edit_distance(a: str, b: str, most: int) -> int:
+    """Damerau-Levenshtein distance (swaps count one, also around other edits), or most + 1 when it is larger."""
     if abs(len(a) - len(b)) > most:
         return most + 1
     if a == b:
         return 0
-    before, last = None, list(range(len(b) + 1))
+    far = len(a) + len(b)
+    seen: dict[str, int] = {}  # last row in which a letter of a stood
+    rows = [[far] * (len(b) + 2), [far, *range(len(b) + 1)]]
     for i, x in enumerate(a, 1):
-        row = [i]
+        row, last, held = [far, i], rows[-1], 0  # held: last column of this row where the letters were equal
         lowest = i
         for j, y in enumerate(b, 1):
-            d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
+            k = seen.get(y, 0)
+            d = min(last[j + 1] + 1, row[j] + 1, last[j] + (x != y))
+            if k and held:
+                d = min(d, rows[k][held] + (i - k - 1) + 1 + (j - held - 1))
+            if x == y:
+                held = j
             row.append(d)
-            if d < lowest:
-                lowest = d
-        if lowest > most:
+            lowest = min(lowest, d)
+        seen[x] = i
+        # a swap may reach back over a row or two, so give up only when two rows in a row are too far
+        if lowest > most and min(last[1:]) > most:
             return most + 1
-        before, last = last, row
-    return last[-1]
+        rows.append(row)
+    return rows[-1][-1]
 
 
 def _grams(text: str) -> set[str]:
@@ -125,6 +131,8 @@ class Matcher:
 
     def embedded(self, tokens: list[str]) -> str | None:
         """The longest of the non-overlapping mentions, found leftmost-longest; None if there is none."""
+        if not self.forms:
+            return None
         text = f" {' '.join(tokens)} "
         found = sorted((end - size + 1, -size, name) for end, (size, name) in self.automaton.iter(text))
         best, free = None, -1
@@ -135,16 +143,20 @@ class Matcher:
                     best = (size, name)
         return best and best[1]
 
-    def similar(self, tokens: list[str], short: bool) -> tuple[str, float] | None:
-        """The name with the least edit share over windows of tokens in any order, within max_error."""
-        best: tuple[float, int, str] | None = None
+    def similar(self, tokens: list[str], short: set[str]) -> tuple[str, float] | None:
+        """The name with the least edit share over windows of tokens in any order, within max_error.
+
+        A window that ends with an abbreviated word may stop short of the name. Of equal shares the longest window wins.
+        """
+        best: tuple[float, int, int, str] | None = None
         n = len(tokens)
         for width in range(min(n, self.widest + 2), 0, -1):
             for start in range(n - width + 1):
                 window = "".join(tokens[start : start + width])
                 if len(window) < 3:
                     continue
-                if short and n == 1 and len(window) < 5:
+                open_end = tokens[start + width - 1] in short
+                if open_end and n == 1 and len(window) < 5:
                     begun = {name for form, name, size in self.forms if size == 1 and form.startswith(window)}
                     if len(begun) == 1:
                         return begun.pop(), 0.0
@@ -159,14 +171,14 @@ class Matcher:
                     # one edit touches two bigrams, a swap three: fewer shared bigrams cannot be within reach
                     if self.sizes[i] - shared > 3 * most or len(form) < 4:
                         continue
-                    d = osa_distance(window, form, most)
-                    if short and d > 0 and len(window) >= 5:
-                        d = min(d, osa_distance(window, form[: len(window)], most) + (len(form) > len(window) + 6))
+                    d = edit_distance(window, form, most)
+                    if open_end and d > 0 and len(window) >= 5:
+                        d = min(d, edit_distance(window, form[: len(window)], most) + (len(form) > len(window) + 6))
                     if d <= most:
-                        key = ((d + 0.5 * (n - width > 0 and d > 0)) / len(form), -len(form), name)
+                        key = ((d + 0.5 * (n - width > 0 and d > 0)) / len(form), -len(window), -len(form), name)
                         if best is None or key < best:
                             best = key
-        return best and (best[2], best[0])
+        return best and (best[3], best[0])
 
     def match(self, value: str) -> tuple[str, str, float]:
         """(canonical name or UNMATCHED, how it was found, edit share)."""

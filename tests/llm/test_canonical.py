@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from emberline.llm import canonical
 
@@ -21,10 +23,41 @@ def test_match(value, name):
 
 
 def test_distance():
-    assert canonical.osa_distance("abcd", "abdc", 3) == 1
-    assert canonical.osa_distance("abc", "abc", 0) == 0
-    assert canonical.osa_distance("abc", "xyz", 2) == 3
-    assert canonical.osa_distance("", "ab", 5) == 2
+    assert canonical.edit_distance("abcd", "abdc", 3) == 1
+    assert canonical.edit_distance("abc", "abc", 0) == 0
+    assert canonical.edit_distance("abc", "xyz", 2) == 3
+    assert canonical.edit_distance("", "ab", 5) == 2
+    assert canonical.edit_distance("ca", "abc", 5) == 2  # a swap around an insertion
+    assert canonical.edit_distance("snagstpu", "snagstump", 2) == 2
+
+
+def test_abbreviations_end_a_window():
+    m = canonical.Matcher({"conifer_crown": [], "pine_needle_litter": ["conifer litter"]})
+    assert m.match("2 x Conifer Cro.")[0] == "conifer_crown"
+    assert m.match("conifer  LITT.")[0] == "pine_needle_litter"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab", max_size=7), st.text("ab", max_size=7))
+def test_distance_against_plain_recursion(a, b):
+    far = len(a) + len(b)
+    d = {(i, j): far for i in range(-1, len(a) + 1) for j in range(-1, len(b) + 1)}
+    last = dict.fromkeys("ab", 0)
+    for i in range(len(a) + 1):
+        d[i, 0] = i
+    for j in range(len(b) + 1):
+        d[0, j] = j
+    for i in range(1, len(a) + 1):
+        held = 0
+        for j in range(1, len(b) + 1):
+            k, l = last[b[j - 1]], held
+            same = a[i - 1] == b[j - 1]
+            held = j if same else held
+            d[i, j] = min(d[i - 1, j - 1] + (not same), d[i, j - 1] + 1, d[i - 1, j] + 1, d[k - 1, l - 1] + (i - k - 1) + 1 + (j - l - 1) if k and l else far)
+        last[a[i - 1]] = i
+    assert canonical.edit_distance(a, b, 20) == d[len(a), len(b)]
+    for most in (1, 2, 3):
+        assert canonical.edit_distance(a, b, most) == d[len(a), len(b)] or (canonical.edit_distance(a, b, most) > most < d[len(a), len(b)])
 
 
 def test_longest_mention_wins():
