@@ -168,7 +168,8 @@ def p5_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, sf: str) -> DataFrame:
-    sized = tokens.with_tokens(_table(spark, sf, "documents").select("doc_id", "source", "text")).drop("text")
+    # counted once: packing makes several passes over the sizes
+    sized = cut(tokens.with_tokens(_table(spark, sf, "documents").select("doc_id", "source", "text")).drop("text"))
     return packing.pack(sized, "doc_id", "source", "n_tokens")
 
 
