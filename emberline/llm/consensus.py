@@ -108,14 +108,13 @@ def label_agreement(labels: DataFrame) -> DataFrame:
     Chance is that two labels drawn from all labels are equal. Counted from label counts, not from pairs. NULL for
     items with one label; where chance is certain (all labels of the table equal) agreement is 1.
     """
-    overall = labels.groupBy("label").agg(F.count("*").alias("m"))
-    chance = overall.agg((F.sum(F.col("m") * F.col("m")) / (F.sum("m") * F.sum("m"))).alias("chance"))
+    overall = labels.groupBy("label").agg(F.count("*").cast("double").alias("m"))
+    chance = F.lit(overall.agg((F.sum(F.col("m") * F.col("m")) / (F.sum("m") * F.sum("m"))).alias("chance")).first()["chance"]).cast("double")
     counts = labels.groupBy("item", "label").agg(F.count("*").alias("c"))
     per = counts.groupBy("item").agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same"))
     observed = F.when(F.col("n") > 1, F.col("same") / (F.col("n") * (F.col("n") - 1)))
-    # chance is one row
-    per = per.withColumn("observed", observed).crossJoin(F.broadcast(chance))
-    corrected = F.when(F.col("chance") >= 1, F.lit(1.0)).otherwise((F.col("observed") - F.col("chance")) / (1 - F.col("chance")))
+    per = per.withColumn("observed", observed)
+    corrected = F.when(chance >= 1, F.lit(1.0)).otherwise((F.col("observed") - chance) / (1 - chance))
     return per.select("item", "n", "observed", F.when(F.col("observed").isNotNull(), corrected).alias("agreement"))
 
 
@@ -126,10 +125,13 @@ def overall_agreement(labels: DataFrame) -> DataFrame:
     per_item = sized.groupBy("item").agg(F.first("n").alias("n"), F.sum(F.col("c") * (F.col("n") - F.col("c"))).alias("off"))
     off = per_item.agg(F.sum(F.col("off") / (F.col("n") - 1)).alias("off"), F.sum("n").alias("n"), F.count("*").alias("items"))
     same = sized.groupBy("label").agg(F.sum("c").alias("m")).agg(F.sum(F.col("m") * F.col("m")).alias("sq"))
+    sums = off.withColumn("sq", F.lit(None).cast("long")).unionByName(
+        same.select(F.lit(None).cast("double").alias("off"), F.lit(None).cast("long").alias("n"), F.lit(0).cast("long").alias("items"), "sq")
+    )
+    sums = sums.agg(*[F.sum(c).alias(c) for c in ("off", "n", "items", "sq")])
     d_o = F.col("off") / F.col("n")
     d_e = (F.col("n") * F.col("n") - F.col("sq")) / (F.col("n") * (F.col("n") - 1))
-    # both sides are one row
-    return off.crossJoin(same).select(
+    return sums.select(
         F.when(d_e == 0, F.lit(1.0)).otherwise(1 - d_o / d_e).alias("alpha"), "items", F.col("n").alias("labels")
     )
 
@@ -146,17 +148,14 @@ def finding_agreement(rows: DataFrame) -> DataFrame:
         F.array_distinct(F.filter(F.coalesce("findings", F.array().cast("array<string>")), lambda x: x.isNotNull())).alias("f"),
     )
     n = clean.groupBy("item").agg(F.count("*").alias("annotators"))
-    total = clean.agg(F.count("*").alias("labels"))
+    total = F.lit(float(clean.count()))
     c = clean.select("item", F.explode("f").alias("x")).groupBy("item", "x").agg(F.count("*").alias("c"))
     prevalence = c.groupBy("x").agg(F.sum("c").alias("m"))
-    # one row
-    chance = prevalence.crossJoin(total).agg(
-        (F.sum((F.col("m") / F.col("labels")) ** 2) / F.sum(F.col("m") / F.col("labels"))).alias("chance")
-    )
+    chance = F.lit(prevalence.agg((F.sum((F.col("m") / total) ** 2) / F.sum(F.col("m") / total)).alias("chance")).first()["chance"]).cast("double")
     per = c.groupBy("item").agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("met"), F.sum("c").alias("findings"))
-    per = n.join(per, "item", "left").crossJoin(F.broadcast(chance))
+    per = n.join(per, "item", "left")
     share = F.when((F.col("annotators") > 1) & (F.col("findings") > 0), F.col("met") / (F.col("findings") * (F.col("annotators") - 1)))
     return per.select(
         "item", "annotators", F.coalesce("findings", F.lit(0)).alias("findings"), share.alias("finding_agreement"),
-        F.when(F.col("chance") < 1, (share - F.col("chance")) / (1 - F.col("chance"))).otherwise(share).alias("corrected"),
+        F.when(chance < 1, (share - chance) / (1 - chance)).otherwise(share).alias("corrected"),
     )

@@ -24,7 +24,8 @@ def _typed(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, list[str]
     names = canonical.reference_list(_table(spark, sf, "lab_taxonomy"))
     classes = F.transform(effective_list(), lambda d: d["object_class"])
     tiles = _table(spark, sf, "tile_results").select("tile_id", classes.alias("classes")).distinct()
-    return tiles.select("tile_id", F.posexplode("classes").alias("det_no", "object_class")), names
+    typed = tiles.select("tile_id", F.posexplode("classes").alias("det_no", "object_class"))
+    return typed.filter(F.rlike("object_class", F.lit(r"(?U)\S"))), names
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -64,8 +64,7 @@ def acquisition_grades(rows: DataFrame, share: float = 0.2, least: int = 3) -> D
     n = rows.groupBy("word", "g").agg(F.count("*").alias("n"))
     sizes = n.groupBy("g").agg(F.sum("n").alias("size"))
     # at most MAX_GRADE + 1 rows; grades of little text are damped by a floor of one part in a thousand
-    all_words = sizes.agg(F.sum("size").alias("all"))
-    sizes = sizes.crossJoin(F.broadcast(all_words))
+    sizes = sizes.withColumn("all", F.sum("size").over(Window.partitionBy()))
     rated = n.join(F.broadcast(sizes), "g").withColumn(
         "rate", F.col("n") / F.greatest(F.col("size"), F.col("all") / 1000)
     )
