@@ -143,9 +143,8 @@ def coco_nest(spark: SparkSession, sf: str) -> DataFrame:
 
 def grid_cells(spark: SparkSession, sf: str) -> DataFrame:
     """Customers per cell of a 4 x 4 grid with closed edges."""
-    spark_range = spark.range(4).select(F.col("id").alias("i"))
-    other = spark.range(4).select(F.col("id").alias("j"))
-    cells = spark_range.join(other, F.lit(True)).select(
+    four = F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))
+    cells = spark.range(1).select(F.explode(four).alias("i")).select("i", F.explode(four).alias("j")).select(
         (F.col("i") * 4 + F.col("j")).alias("cell"), (F.col("i") * 2500.0).alias("cx0"), (F.col("j") * 2500.0).alias("cy0"),
         ((F.col("i") + 1) * 2500.0).alias("cx1"), ((F.col("j") + 1) * 2500.0).alias("cy1"),
     )

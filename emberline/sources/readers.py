@@ -53,15 +53,16 @@ def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes(id, attributes), edges(src, dst, attributes)); attributes map from name to text, by the file's key table."""
     read = lambda tag, ddl: spark.read.format("xml").option("rowTag", tag).schema(ddl).load(path)
     keys = read("key", "_id string, `_attr.name` string").select(F.col("_id").alias("k"), F.col("`_attr.name`").alias("name"))
-    pairs = keys.agg(F.map_from_entries(F.collect_set(F.struct("k", "name"))).alias("names"))  # a few attribute names
+    listed = [(r["k"], r["name"]) for r in keys.distinct().limit(1000).collect()]  # the attribute names of a format, few
+    names = F.create_map(*[F.lit(x) for kv in listed for x in kv]) if listed else F.expr("cast(map() as map<string, string>)")
     named = F.map_from_entries(
         F.transform(
             F.coalesce("data", F.array().cast("array<struct<_key: string, _VALUE: string>>")),
-            lambda d: F.struct(F.coalesce(F.try_element_at(F.col("names"), d["_key"]), d["_key"]).alias("k"), d["_VALUE"].alias("v")),
+            lambda d: F.struct(F.coalesce(F.try_element_at(names, d["_key"]), d["_key"]).alias("k"), d["_VALUE"].alias("v")),
         )
     )
-    nodes = read("node", f"_id string, {_GRAPHML_DATA}").crossJoin(F.broadcast(pairs)).select(F.col("_id").alias("id"), named.alias("attributes"))
-    edges = read("edge", f"_source string, _target string, {_GRAPHML_DATA}").crossJoin(F.broadcast(pairs))
+    nodes = read("node", f"_id string, {_GRAPHML_DATA}").select(F.col("_id").alias("id"), named.alias("attributes"))
+    edges = read("edge", f"_source string, _target string, {_GRAPHML_DATA}")
     return nodes, edges.select(F.col("_source").alias("src"), F.col("_target").alias("dst"), named.alias("attributes"))
 
 
@@ -90,9 +91,8 @@ def done_keys(spark: SparkSession, path: str, column: str = "parcel_id") -> Data
 def catalog_search(items: DataFrame, x0: float, y0: float, x1: float, y1: float, year: int, fallback: int) -> DataFrame:
     """Catalog items (x0, y0, x1, y1, year) that overlap a box in a year, or in the fallback year if that year has none."""
     over = items.filter((F.col("x0") < x1) & (F.col("x1") > x0) & (F.col("y0") < y1) & (F.col("y1") > y0))
-    best = over.filter(F.col("year").isin(year, fallback)).groupBy().agg(F.max((F.col("year") == year).cast("int")).alias("has"))
-    chosen = over.crossJoin(F.broadcast(best))  # one row
-    return chosen.filter(F.col("year") == F.when(F.col("has") == 1, year).otherwise(fallback)).drop("has")
+    found = over.filter(F.col("year") == year).limit(1).count()
+    return over.filter(F.col("year") == (year if found else fallback))
 
 
 class _Visible(HTMLParser):

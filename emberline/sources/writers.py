@@ -49,8 +49,9 @@ def coco(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> Da
     """
     i = images.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(*[c for c in images.columns if c != "doc"]))).alias("images"))
     a = annotations.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(*[c for c in annotations.columns if c != "doc"]))).alias("annotations"))
-    c = categories.agg(F.array_sort(F.collect_list(F.struct(*categories.columns))).alias("categories"))
-    return i.join(a, "doc", "left").crossJoin(F.broadcast(c))  # categories: a fixed dimension
+    c = categories.agg(F.array_sort(F.collect_list(F.struct(*categories.columns))).alias("categories")).withColumn("__one", F.lit(1))
+    # categories: a fixed dimension, one row
+    return i.join(a, "doc", "left").withColumn("__one", F.lit(1)).join(F.broadcast(c), "__one").drop("__one")
 
 
 def label_tasks(df: DataFrame, number: str, size: int = 500) -> DataFrame:
