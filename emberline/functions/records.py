@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,18 @@ def effective_list(nested: str = "result.detections", flat: str = "detections")
     return F.when(F.size(nested) > 0, F.col(nested)).otherwise(F.coalesce(F.col(flat), F.slice(F.col(nested), 1, 0)))
 
 
+def effective_field(name: str, nested: str = "result.detections", flat: str = "detections") -> Column:
+    """PRJ-09 for one field of the elements, as an array; only that field is read from the file."""
+    inner = F.col(f"{nested}.{name}")
+    return F.when(F.size(inner) > 0, inner).otherwise(F.coalesce(F.col(f"{flat}.{name}"), inner))
+
+
+def effective_structs(names: Sequence[str]) -> Column:
+    """PRJ-09 for some fields of the elements, as an array of structs; only those fields are read from the file."""
+    zipped = F.arrays_zip(*[effective_field(n).alias(n) for n in names])
+    return F.transform(zipped, lambda x: F.struct(*[x[n].alias(n) for n in names]))
+
+
 def one_row_each(df: DataFrame, key: str) -> DataFrame:
     """Rows sent again under the same key and with the same content count once; NULL keys leave.
 

@@ -12,15 +12,18 @@ from emberline.plans.tables import table
 ORDER = {"NONE": 0, "LOW": 1, "MEDIUM": 2, "HIGH": 3, "CRITICAL": 4}
 
 
-def chips(spark: SparkSession, sf: str) -> DataFrame:
-    """Each chip once; copies are identical. Blank and NULL elements leave, spellings are united."""
-    c = table(spark, sf, "vlm_inference_results").drop("received_at", "stamp")
+def chips(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Each chip once, with the columns asked for; copies are identical. What is not asked for is not read.
+
+    objects are the detected objects without blank and NULL elements, spellings united.
+    """
     clean = F.filter(F.transform("detected_objects", lambda x: F.lower(F.trim(x))), lambda x: x.isNotNull() & (x != ""))
-    return c.withColumn("objects", F.coalesce(F.array_distinct(clean), F.array().cast("array<string>"))).distinct()
+    objects = F.coalesce(F.array_distinct(clean), F.array().cast("array<string>")).alias("objects")
+    return table(spark, sf, "vlm_inference_results").select("chip_id", *[objects if c == "objects" else F.col(c) for c in columns]).distinct()
 
 
 def findings(spark: SparkSession, sf: str) -> DataFrame:
-    c = chips(spark, sf).select("chip_id", "parcel_id", F.posexplode("compliance_findings").alias("no", "f")).filter("f is not null")
+    c = chips(spark, sf, "parcel_id", "compliance_findings").select("chip_id", "parcel_id", F.posexplode("compliance_findings").alias("no", "f")).filter("f is not null")
     return c.select(
         "chip_id", "parcel_id", F.col("no").cast("long").alias("finding_no"), F.lower(F.trim("f.object_class")).alias("object_class"),
         F.col("f.zone").alias("zone"), F.col("f.clip_score").alias("clip_score"), F.size(F.coalesce("f.violations", F.expr("slice(f.violations, 1, 0)"), F.expr("cast(array() as array<struct<violation_id: string, severity: string, detection: string>>)"))).cast("long").alias("n_violations"),
@@ -34,7 +37,7 @@ def chip_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 def chip_parcels(spark: SparkSession, sf: str) -> DataFrame:
     """Per parcel: chips, chips with violations and their share, distinct objects, worst severity (NONE if none)."""
-    c = chips(spark, sf).select("chip_id", "parcel_id", "has_violations", "max_severity", "objects")
+    c = chips(spark, sf, "parcel_id", "has_violations", "max_severity", "objects")
     rank = F.max(text.mapped(F.col("max_severity"), ORDER, 0))
     base = c.groupBy("parcel_id").agg(
         F.count("*").alias("n_chips"), F.count_if("has_violations").alias("n_flagged"),
@@ -52,7 +55,7 @@ def chip_parcels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chip_zones(spark: SparkSession, sf: str) -> DataFrame:
-    c = chips(spark, sf)
+    c = chips(spark, sf, "zone", "has_violations", "parcel_id")
     return report.detection_profile(c, "zone", F.col("has_violations"), "parcel_id")
 
 
@@ -74,7 +77,7 @@ def class_scores_wide(spark: SparkSession, sf: str) -> DataFrame:
 
 def detected_and_found(spark: SparkSession, sf: str) -> DataFrame:
     """Per class the chips that detect it and the chips that find a violation for it; either may be missing."""
-    seen = chips(spark, sf).select("chip_id", F.explode("objects").alias("object_class")).groupBy("object_class").agg(F.count("*").alias("n_detected"))
+    seen = chips(spark, sf, "objects").select("chip_id", F.explode("objects").alias("object_class")).groupBy("object_class").agg(F.count("*").alias("n_detected"))
     found = findings(spark, sf).filter("n_violations > 0").groupBy("object_class").agg(F.countDistinct("chip_id").alias("n_found"))
     out = seen.join(found, "object_class", "full").na.fill(0, ["n_detected", "n_found"])
     return out.withColumn("found_pct", F.round(F.when(F.col("n_detected") > 0, 100.0 * F.col("n_found") / F.col("n_detected")).otherwise(0.0), 1))
@@ -82,13 +85,13 @@ def detected_and_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def violation_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Violations by id and severity, from the nested arrays."""
-    c = chips(spark, sf).select(F.explode("compliance_findings").alias("f")).select(F.explode("f.violations").alias("v"))
+    c = chips(spark, sf, "compliance_findings").select(F.explode("compliance_findings").alias("f")).select(F.explode("f.violations").alias("v"))
     return c.filter("v is not null").groupBy(F.col("v.violation_id").alias("violation_id"), F.col("v.severity").alias("severity")).agg(F.count("*").alias("n"))
 
 
 def any_critical(spark: SparkSession, sf: str) -> DataFrame:
     """Chips of which one finding is critical, counted by zone, with the mean number of findings."""
-    c = chips(spark, sf).withColumn("n", F.greatest(F.coalesce(F.size("compliance_findings"), F.lit(0)), F.lit(0)))
+    c = chips(spark, sf, "zone", "compliance_findings").withColumn("n", F.greatest(F.coalesce(F.size("compliance_findings"), F.lit(0)), F.lit(0)))
     hit = F.coalesce(F.exists("compliance_findings", lambda f: f["severity"] == "CRITICAL"), F.lit(False))
     return c.groupBy("zone").agg(F.count_if(hit).alias("n_critical"), F.round(F.avg(F.col("n").cast("double")), 4).alias("mean_findings"))
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions import boxes, score, text
-from emberline.functions.records import effective_list
+from emberline.functions.records import effective_structs
 from emberline.operators import graph, joins, report, suppress, vote
 from emberline.plans.tables import table
 
@@ -53,44 +55,54 @@ det as (
 """
 
 
-def tiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Each tile once, its nested and flat fields united. Repeated rows are identical, so equal rows are dropped."""
-    t = table(spark, sf, "tile_results").drop("received_at")
-    return t.select(
-        "tile_id", "parcel_id", "model", "backend", F.col("zone").alias("tile_zone"),
-        F.expr("try_cast(tile_row as bigint)").alias("tile_row"), F.expr("try_cast(tile_col as bigint)").alias("tile_col"), "elapsed_s",
-        effective_list().alias("d"),
-        F.coalesce("result.overall_parcel_risk", "overall_parcel_risk").alias("risk"),
-        F.coalesce("result.parse_failed", "parse_failed", F.lit(False)).alias("failed"),
-        F.coalesce("result.aerial_limitations", "aerial_limitations").alias("limits"),
-    ).distinct()
-
-
-def detections(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per detection with defaults filled in and zones spelt alike. Unused fields are pruned from the scan."""
-    t = tiles(spark, sf).drop("limits", "failed", "elapsed_s")
+def tiles(spark: SparkSession, sf: str, columns: Sequence[str], fields: Sequence[str] = ()) -> DataFrame:
+    """Each tile once: tile_id, the columns asked for, and d, the detections with the fields asked for.
+
+    Nested and flat forms are united. Repeated rows are identical, so equal rows are dropped; what is not asked for is
+    left out before that and so not read.
+    """
+    known = {
+        "tile_zone": F.col("zone"),
+        "tile_row": F.expr("try_cast(tile_row as bigint)"),
+        "tile_col": F.expr("try_cast(tile_col as bigint)"),
+        "risk": F.coalesce("result.overall_parcel_risk", "overall_parcel_risk"),
+        "failed": F.coalesce("result.parse_failed", "parse_failed", F.lit(False)),
+        "limits": F.coalesce("result.aerial_limitations", "aerial_limitations"),
+    }
+    chosen = [known.get(c, F.col(c)).alias(c) for c in columns]
+    if fields:
+        chosen.append(effective_structs(fields).alias("d"))
+    return table(spark, sf, "tile_results").select("tile_id", *chosen).distinct()
+
+
+def detections(spark: SparkSession, sf: str, *fields: str, columns: Sequence[str] = ("parcel_id",)) -> DataFrame:
+    """One row per detection: tile_id, det_no, the tile columns and fields asked for, defaults filled in, zones spelt alike."""
+    t = tiles(spark, sf, [*columns, *(["tile_zone"] if "zone" in fields else [])], fields)
     x = t.select("*", F.posexplode("d").alias("det_no", "x")).drop("d")
-    digit = F.regexp_extract(F.coalesce("x.zone", "tile_zone"), "([012])", 1)
-    return x.select(
-        "tile_id", "parcel_id", "model", "backend", "tile_row", "tile_col", "risk", "det_no",
-        F.coalesce(F.nullif(F.trim("x.object_class"), F.lit("")), F.lit("unknown")).alias("object_class"),
-        F.when(digit != "", F.concat(F.lit("Zone_"), digit)).otherwise("Zone_2").alias("zone"),
-        F.coalesce("x.compliance_status", F.lit("UNKNOWN")).alias("compliance_status"),
-        F.coalesce("x.severity", F.lit("NONE")).alias("severity"),
-        F.coalesce("x.confidence", F.lit("LOW")).alias("confidence"),
-        F.col("x.bounding_box_pixels").alias("box"), F.col("x.cot_trace").alias("cot_trace"),
-    )
+    digit = F.regexp_extract(F.coalesce("x.zone", "tile_zone"), "([012])", 1) if "zone" in fields else F.lit("")
+    known = {
+        "object_class": lambda: F.coalesce(F.nullif(F.trim("x.object_class"), F.lit("")), F.lit("unknown")),
+        "zone": lambda: F.when(digit != "", F.concat(F.lit("Zone_"), digit)).otherwise("Zone_2"),
+        "compliance_status": lambda: F.coalesce("x.compliance_status", F.lit("UNKNOWN")),
+        "severity": lambda: F.coalesce("x.severity", F.lit("NONE")),
+        "confidence": lambda: F.coalesce("x.confidence", F.lit("LOW")),
+        "bounding_box_pixels": lambda: F.col("x.bounding_box_pixels"),
+        "cot_trace": lambda: F.col("x.cot_trace"),
+    }
+    names = {"bounding_box_pixels": "box"}
+    kept = [known[f]().alias(names.get(f, f)) for f in fields]
+    return x.select("tile_id", "det_no", *columns, *kept)
 
 
 def effective_detections(spark: SparkSession, sf: str) -> DataFrame:
-    return detections(spark, sf).select(
+    return detections(spark, sf, "object_class", "zone", "compliance_status", "severity", "confidence", "bounding_box_pixels").select(
         "tile_id", F.col("det_no").cast("long").alias("det_no"), "object_class", "zone", "compliance_status", "severity", "confidence",
         boxes.is_box(F.col("box")).alias("has_box"),
     )
 
 
 def _score_a(spark: SparkSession, sf: str) -> DataFrame:
-    d = detections(spark, sf)
+    d = detections(spark, sf, "object_class", "zone", "compliance_status", "severity")
     return score.zone_score(d, "parcel_id", "compliance_status", "zone", "severity", "object_class")
 
 
@@ -103,12 +115,12 @@ def top_risk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def risk_score_b(spark: SparkSession, sf: str) -> DataFrame:
-    d = detections(spark, sf).withColumn("risk", F.upper(F.trim("risk")))
+    d = detections(spark, sf, "compliance_status", "severity", columns=("parcel_id", "risk")).withColumn("risk", F.upper(F.trim("risk")))
     return score.tally_score(d, "parcel_id", "compliance_status", "severity", "risk")
 
 
 def violation_breakdown(spark: SparkSession, sf: str) -> DataFrame:
-    hit = detections(spark, sf).filter("compliance_status = 'VIOLATION'").withColumn("k", text.key_name(F.col("object_class")))
+    hit = detections(spark, sf, "object_class", "compliance_status").filter("compliance_status = 'VIOLATION'").withColumn("k", text.key_name(F.col("object_class")))
     out = score.breakdown(hit, "parcel_id", "k")
     entries = F.transform(F.map_entries("breakdown"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
     return out.select("parcel_id", F.array_join(entries, ", ").alias("breakdown"))
@@ -116,25 +128,25 @@ def violation_breakdown(spark: SparkSession, sf: str) -> DataFrame:
 
 def worst_severity(spark: SparkSession, sf: str) -> DataFrame:
     order = {"NONE": 0, "REVIEW": 0, "LOW": 1, "MEDIUM": 2, "HIGH": 3, "CRITICAL": 4}
-    return detections(spark, sf).groupBy("parcel_id").agg(score.worst("severity", order).alias("worst_severity"))
+    return detections(spark, sf, "severity").groupBy("parcel_id").agg(score.worst("severity", order).alias("worst_severity"))
 
 
 def class_zone_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return report.pivot_counts(detections(spark, sf), "object_class", "zone", ZONES)
+    return report.pivot_counts(detections(spark, sf, "object_class", "zone"), "object_class", "zone", ZONES)
 
 
 def severity_crosstab(spark: SparkSession, sf: str) -> DataFrame:
-    return report.pivot_counts(detections(spark, sf), "zone", "severity", ("CRITICAL", "HIGH", "MEDIUM", "LOW", "NONE"))
+    return report.pivot_counts(detections(spark, sf, "zone", "severity"), "zone", "severity", ("CRITICAL", "HIGH", "MEDIUM", "LOW", "NONE"))
 
 
 def composite_counts(spark: SparkSession, sf: str) -> DataFrame:
     key = F.when(F.col("compliance_status") == "VIOLATION", F.concat(F.lit("VIOLATION:"), F.col("zone"))).otherwise(F.col("compliance_status"))
-    return detections(spark, sf).groupBy(key.alias("node_kind")).agg(F.count("*").alias("n"))
+    return detections(spark, sf, "zone", "compliance_status").groupBy(key.alias("node_kind")).agg(F.count("*").alias("n"))
 
 
 def model_conditions(spark: SparkSession, sf: str) -> DataFrame:
     """Tiles, failed parses, tiles without detections per model; guarded shares."""
-    t = tiles(spark, sf).withColumn("n", F.coalesce(F.greatest(F.size("d"), F.lit(0)), F.lit(0)))
+    t = tiles(spark, sf, ("model", "parcel_id", "failed"), ("object_class",)).withColumn("n", F.coalesce(F.greatest(F.size("d"), F.lit(0)), F.lit(0)))
     return t.groupBy("model").agg(
         F.count("*").alias("n_tiles"), F.count_if("failed").alias("n_failed"), F.count_if(F.col("n") == 0).alias("n_empty"),
         F.sum("n").alias("n_detections"), report.share(F.sum("n").cast("double"), F.count("*")).alias("per_tile"),
@@ -143,7 +155,7 @@ def model_conditions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def throughput(spark: SparkSession, sf: str) -> DataFrame:
-    return tiles(spark, sf).groupBy("backend").agg(
+    return tiles(spark, sf, ("backend", "failed", "elapsed_s")).groupBy("backend").agg(
         F.count_if(~F.col("failed")).alias("n_ok"), F.count_if("failed").alias("n_failed"),
         F.round(F.sum("elapsed_s"), 2).alias("seconds"),
         report.share(F.sum("elapsed_s"), F.count_if(~F.col("failed")), 3).alias("seconds_per_ok"),
@@ -151,14 +163,14 @@ def throughput(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def zone_profile(spark: SparkSession, sf: str) -> DataFrame:
-    d = detections(spark, sf)
+    d = detections(spark, sf, "zone", "compliance_status")
     return report.detection_profile(d, "zone", F.col("compliance_status") == "VIOLATION", "parcel_id")
 
 
 def site_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Per site (of parcel_meta, else the first three characters of the parcel): counts and the distinct severities."""
     meta = table(spark, sf, "parcel_meta").filter("site is not null").groupBy("parcel_id").agg(F.min(F.lower("site")).alias("site"))
-    d = detections(spark, sf).join(meta, "parcel_id", "left").withColumn("site", F.coalesce("site", F.substring("parcel_id", 1, 3)))
+    d = detections(spark, sf, "severity").join(meta, "parcel_id", "left").withColumn("site", F.coalesce("site", F.substring("parcel_id", 1, 3)))
     return d.groupBy("site").agg(
         F.count("*").alias("n"), F.countDistinct("parcel_id").alias("n_parcels"),
         F.count_if(F.col("severity") == "CRITICAL").alias("n_critical"),
@@ -170,17 +182,17 @@ def ablation(spark: SparkSession, sf: str) -> DataFrame:
     """Backends as arms: detections per tile and share of traces that cite a clause."""
     cites = F.size(F.filter("d", lambda x: text.any_of([F.contains(x["cot_trace"], F.lit(c)) for c in CITATIONS])))
     marker = F.coalesce(F.greatest(cites, F.lit(0)), F.lit(0))
-    return report.ablation(tiles(spark, sf).withColumn("d", F.coalesce("d", F.expr("slice(d, 1, 0)"))), "backend", "d", marker)
+    return report.ablation(tiles(spark, sf, ("backend",), ("cot_trace",)), "backend", "d", marker)
 
 
 def limitation_categories(spark: SparkSession, sf: str) -> DataFrame:
-    lim = tiles(spark, sf).select(F.explode("limits").alias("l")).filter("l is not null")
+    lim = tiles(spark, sf, ("limits",)).select(F.explode("limits").alias("l")).filter("l is not null")
     n = lim.groupBy(text.first_category(F.col("l"), LIMITATIONS, "other").alias("category")).agg(F.count("*").alias("n"))
     return n
 
 
 def _model_labels(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    d = detections(spark, sf)
+    d = detections(spark, sf, "object_class", "zone", "compliance_status", "severity", columns=("parcel_id", "model"))
     pick = lambda m: score.zone_score(d.filter(F.col("model") == m), "parcel_id", "compliance_status", "zone", "severity", "object_class")
     return pick("tessera-vl"), pick("ovlm-7b")
 
@@ -197,23 +209,23 @@ def top_disagreements(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def alias_resolve(spark: SparkSession, sf: str) -> DataFrame:
-    labels = detections(spark, sf).select("object_class").distinct()
+    labels = detections(spark, sf, "object_class").select("object_class").distinct()
     return graph.resolve_alias(labels, "object_class", ALIASES)
 
 
 def vote_tiles(spark: SparkSession, sf: str) -> DataFrame:
     """The first three tiles of each parcel as three answers about it."""
-    t = joins.first_k(tiles(spark, sf).select("parcel_id", "tile_id"), ["parcel_id"], ["tile_id"], 3)
+    t = joins.first_k(tiles(spark, sf, ("parcel_id",)), ["parcel_id"], ["tile_id"], 3)
     n = t.groupBy("parcel_id").agg(F.count("*").cast("int").alias("responses"))
     resp = t.join(n, "parcel_id").select("tile_id", "responses", (F.col("rn") - 1).alias("resp"))
-    d = detections(spark, sf).join(resp, "tile_id").withColumnRenamed("det_no", "det")
+    d = detections(spark, sf, "object_class", "compliance_status", "severity", "confidence").join(resp, "tile_id").withColumnRenamed("det_no", "det")
     voted = vote.vote(d.drop("tile_id"), "parcel_id", "responses")
     return voted.withColumn("first_resp", F.col("first_resp").cast("long"))
 
 
 def _placed(spark: SparkSession, sf: str) -> DataFrame:
     """Detections with boxes in image coordinates (tiles are 512 wide with a stride of 256) and a confidence rank."""
-    d = detections(spark, sf).filter("tile_row is not null and tile_col is not null")
+    d = detections(spark, sf, "object_class", "confidence", "bounding_box_pixels", columns=("parcel_id", "tile_row", "tile_col")).filter("tile_row is not null and tile_col is not null")
     return d.select(
         "parcel_id", "tile_id", F.col("det_no").cast("long").alias("det_no"), text.key_name(F.col("object_class")).alias("label"),
         boxes.translate(F.col("box"), F.col("tile_col") * 256.0, F.col("tile_row") * 256.0).alias("box"),
@@ -235,14 +247,14 @@ def greedy_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def iou_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbouring detections of a tile that overlap."""
-    d = detections(spark, sf).select("tile_id", "det_no", "box")
+    d = detections(spark, sf, "bounding_box_pixels").select("tile_id", "det_no", "box")
     nxt = d.select("tile_id", (F.col("det_no") - 1).alias("det_no"), F.col("box").alias("next_box"))
     v = F.round(boxes.iou(F.col("box"), F.col("next_box")), 6)
     return d.join(nxt, ["tile_id", "det_no"]).select("tile_id", F.col("det_no").cast("long").alias("det_no"), v.alias("iou")).filter("iou > 0")
 
 
 def box_transforms(spark: SparkSession, sf: str) -> DataFrame:
-    d = detections(spark, sf).filter(boxes.is_box(F.col("box")) & F.col("tile_row").isNotNull() & F.col("tile_col").isNotNull())
+    d = detections(spark, sf, "bounding_box_pixels", columns=("tile_row", "tile_col")).filter(boxes.is_box(F.col("box")) & F.col("tile_row").isNotNull() & F.col("tile_col").isNotNull())
     at = boxes.translate(F.col("box"), F.col("tile_col") * 256.0, F.col("tile_row") * 256.0)
     grown = boxes.expand(F.col("box"), F.lit(12.0), F.lit(512), F.lit(512))
     part = boxes.to_percent(boxes.to_xywh(F.col("box")), F.lit(512.0), F.lit(512.0))
@@ -255,7 +267,7 @@ def box_transforms(spark: SparkSession, sf: str) -> DataFrame:
 
 def box_cover(spark: SparkSession, sf: str) -> DataFrame:
     """How many boxes touch each 128-pixel cell of their tile."""
-    d = detections(spark, sf).filter(boxes.is_box(F.col("box")))
+    d = detections(spark, sf, "bounding_box_pixels").filter(boxes.is_box(F.col("box")))
     c = [boxes.corner(F.col("box"), i).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))]
     own = d.select("tile_id", F.concat_ws("-", "tile_id", "det_no").alias("id"), *c)
     step = F.array(*[F.lit(i) for i in range(4)])

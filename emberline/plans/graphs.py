@@ -14,7 +14,7 @@ SEVERITY = {"NONE": 0, "LOW": 1, "MEDIUM": 2, "HIGH": 3, "CRITICAL": 4}
 
 def _violations(spark: SparkSession, sf: str) -> DataFrame:
     """object_class, violation_id, severity: every violation found for a class, once per occurrence."""
-    f = chips(spark, sf).select(F.explode("compliance_findings").alias("f")).select(
+    f = chips(spark, sf, "compliance_findings").select(F.explode("compliance_findings").alias("f")).select(
         F.lower(F.trim("f.object_class")).alias("object_class"), F.explode("f.violations").alias("v")
     )
     return f.filter("v is not null and v.violation_id is not null and object_class is not null").select(
@@ -106,7 +106,7 @@ def graph_context(spark: SparkSession, sf: str) -> DataFrame:
 
 def graph_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """Last severity per (class, violation): chips in order write over the one before."""
-    f = chips(spark, sf).select("chip_id", F.explode("compliance_findings").alias("f")).select(
+    f = chips(spark, sf, "compliance_findings").select("chip_id", F.explode("compliance_findings").alias("f")).select(
         "chip_id", F.lower(F.trim("f.object_class")).alias("src"), F.explode("f.violations").alias("v")
     )
     rows = f.filter("v is not null and v.violation_id is not null and src is not null").select(
