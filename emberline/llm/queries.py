@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.functions.records import effective_list
+from emberline.functions.records import effective_field
 from emberline.llm import canonical, consensus, cooccurrence, mixing, packing, reading, tokens, truncation
 from emberline.session import cut
 
@@ -22,8 +22,7 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def _typed(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, list[str]]]:
     """Each detection's class of each tile once, and the reference list."""
     names = canonical.reference_list(_table(spark, sf, "lab_taxonomy"))
-    classes = F.transform(effective_list(), lambda d: d["object_class"])
-    tiles = _table(spark, sf, "tile_results").select("tile_id", classes.alias("classes")).distinct()
+    tiles = _table(spark, sf, "tile_results").select("tile_id", effective_field("object_class").alias("classes")).distinct()
     typed = tiles.select("tile_id", F.posexplode("classes").alias("det_no", "object_class"))
     return typed.filter(F.rlike("object_class", F.lit(r"(?U)\S"))), names
 
@@ -113,7 +112,7 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
     tiles = _table(spark, sf, "tile_results").select(
         "tile_id",
         "backend",
-        F.transform(effective_list(), lambda d: d["cot_trace"]).alias("traces"),
+        effective_field("cot_trace").alias("traces"),
         F.col("result.raw_output").alias("raw"),
     )
     one = F.transform(F.coalesce("traces", F.array().cast("array<string>")), lambda t, i: F.struct(i.alias("det_no"), F.lit("cot_trace").alias("field"), t.alias("text")))
