@@ -153,3 +153,21 @@ def test_reports(spark):
     rate = report.agreement_rate(report.agreement(a, b, "k", "l", ("LOW", "MEDIUM", "HIGH"))).first()
     assert (rate["n_both"], rate["n_agree"], rate["agree_rate"]) == (2, 1, 0.5)
     assert report.agreement_rate(report.agreement(a.limit(0), b, "k", "l", ("LOW",))).first()["agree_rate"] == 0
+
+
+def test_best_box_and_height(spark):
+    found = spark.createDataFrame([("a", 0.4, [0.0, 0.0, 1.0, 1.0]), ("a", 0.9, [5.0, 5.0, 6.0, 6.0]), ("a", 0.9, [1.0, 5.0, 6.0, 6.0])], "id string, score double, box array<double>")
+    images = spark.createDataFrame([("a", 90.0, 30.0), ("b", 90.0, 30.0)], "id string, w double, h double")
+    got = {r["id"]: r["box"] for r in raster.best_box(found, "id", images, "w", "h").collect()}
+    assert got == {"a": [1.0, 5.0, 6.0, 6.0], "b": [30.0, 10.0, 60.0, 20.0]}
+    heights = spark.createDataFrame([(2.0,), (1.5,), (None,)], "h double")
+    assert [r[0] for r in heights.select(boxes.zone_by_height(F.col("h"))).collect()] == ["Zone_0", "Zone_1", "Zone_1"]
+    assert one(spark, boxes.feet_to_pixels(5.0, F.lit(0.0))) == 0 and one(spark, boxes.feet_to_pixels(5.0, F.lit(10.0))) == 15
+
+
+def test_tile_stats(spark):
+    df = spark.createDataFrame([("t", 0.0), ("t", 4.0), ("t", None), ("t", 9e38), ("t", float("nan"))], "t string, v double")
+    r = raster.tile_stats(df, ["t"], "v", nodata=3.4e38).first()
+    assert (r["n"], r["n_valid"], r["mean"], r["greatest"], r["zero_share"], r["missing_share"]) == (5, 2, 2.0, 4.0, 0.2, pytest.approx(0.6))
+    assert raster.not_blank(raster.tile_stats(df, ["t"], "v", nodata=3.4e38), missing_limit=0.5).count() == 0
+    assert raster.tile_stats(df.limit(0), ["t"], "v").count() == 0
