@@ -214,10 +214,10 @@ def alias_resolve(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vote_tiles(spark: SparkSession, sf: str) -> DataFrame:
-    """The first three tiles of each parcel as three answers about it."""
-    t = joins.first_k(tiles(spark, sf, ("parcel_id",)), ["parcel_id"], ["tile_id"], 3)
-    n = t.groupBy("parcel_id").agg(F.count("*").cast("int").alias("responses"))
-    resp = t.join(n, "parcel_id").select("tile_id", "responses", (F.col("rn") - 1).alias("resp"))
+    """Every tile of a parcel as an answer about it, numbered by tile_id; numbered over all parcels at once, as one may hold a tenth of the rows."""
+    t = joins.surrogate_ids(tiles(spark, sf, ("parcel_id",)).filter("parcel_id is not null"), ["parcel_id", "tile_id"], "at", 0)
+    n = t.groupBy("parcel_id").agg(F.count("*").alias("responses"), F.min("at").alias("first"))
+    resp = t.join(n, "parcel_id").select("tile_id", "responses", (F.col("at") - F.col("first")).alias("resp"))
     d = detections(spark, sf, "object_class", "compliance_status", "severity", "confidence").join(resp, "tile_id").withColumnRenamed("det_no", "det")
     voted = vote.vote(d.drop("tile_id"), "parcel_id", "responses")
     return voted.withColumn("first_resp", F.col("first_resp").cast("long"))
