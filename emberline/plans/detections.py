@@ -246,11 +246,14 @@ def greedy_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def iou_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Neighbouring detections of a tile that overlap."""
-    d = detections(spark, sf, "bounding_box_pixels").select("tile_id", "det_no", "box")
-    nxt = d.select("tile_id", (F.col("det_no") - 1).alias("det_no"), F.col("box").alias("next_box"))
-    v = F.round(boxes.iou(F.col("box"), F.col("next_box")), 6)
-    return d.join(nxt, ["tile_id", "det_no"]).select("tile_id", F.col("det_no").cast("long").alias("det_no"), v.alias("iou")).filter("iou > 0")
+    """Every two detections of a tile that overlap, with both positions; paired inside the row, so only tiles are shuffled."""
+    t = tiles(spark, sf, (), ("bounding_box_pixels",)).select("tile_id", F.transform("d", lambda x: x["bounding_box_pixels"]).alias("all"))
+    first = t.select("*", F.posexplode("all").alias("det_no", "box"))
+    rest = F.slice("all", F.col("det_no") + 2, F.size("all"))
+    pairs = first.select("tile_id", "det_no", "box", F.posexplode(rest).alias("after", "other_box"))
+    v = F.round(boxes.iou(F.col("box"), F.col("other_box")), 6)
+    other = F.col("det_no") + F.col("after") + 1
+    return pairs.select("tile_id", F.col("det_no").cast("long").alias("det_no"), other.cast("long").alias("other_no"), v.alias("iou")).filter("iou > 0")
 
 
 def box_transforms(spark: SparkSession, sf: str) -> DataFrame:

@@ -28,3 +28,12 @@ def test_vote_tiles_uses_every_tile(spark, sf, duck):
     sql = detections.SQL["vote_tiles"]
     assert " qualify resp < 3" in sql
     same_rows(detections.vote_tiles(spark, sf), duck, sql.replace(" qualify resp < 3", ""))
+
+
+def test_iou_pairs_of_all_detections(spark, sf, duck):
+    sql = detections.SQL["iou_pairs"]
+    assert "b.det_no = a.det_no + 1" in sql and sql.count("tile_id, det_no, round(") == 1
+    whole = sql.replace("b.det_no = a.det_no + 1", "b.det_no > a.det_no").replace("a.det_no, a.box", "a.det_no, b.det_no as other_no, a.box")
+    whole = whole.replace("tile_id, det_no, round(", "tile_id, det_no, other_no, round(")
+    same_rows(detections.iou_pairs(spark, sf), duck, whole)
+    assert detections.iou_pairs(spark, sf).filter("other_no > det_no + 1").count() > 0
