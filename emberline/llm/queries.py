@@ -215,12 +215,13 @@ def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _levels(spark: SparkSession, sf: str) -> DataFrame:
-    english = _table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", "text")
-    return reading.reading_levels(english, "doc_id", "text")
+    """Of all documents, each language graded by itself."""
+    return reading.reading_levels(_table(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id", "text", "lang")
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    found = _levels(spark, sf).filter("words >= 30 and band <> 'middle'")
+    english = _table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", "text")
+    found = reading.reading_levels(english, "doc_id", "text").filter("words >= 30 and band <> 'middle'")
     return found.select(F.col("key").alias("doc_id"), F.col("band").alias("reading_band"))
 
 
@@ -229,10 +230,10 @@ def p8_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents and words per source and whole grade."""
-    levels = _levels(spark, sf).select(F.col("key").alias("doc_id"), "words", "grade", "band")
+    """Documents and words per source, language and whole grade; grades of two languages are not on one scale."""
+    levels = _levels(spark, sf).select(F.col("key").alias("doc_id"), "lang", "words", "grade", "band")
     joined = levels.join(_table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
-    return joined.groupBy("source", F.round("grade").cast("int").alias("grade"), "band").agg(
+    return joined.groupBy("source", "lang", F.round("grade").cast("int").alias("grade"), "band").agg(
         F.count("*").alias("n_documents"), F.sum("words").alias("n_words")
     )
 

@@ -44,44 +44,48 @@ def formula_grade(text: Column, n_words: Column) -> Column:
     return F.when(n_words > 0, grade)
 
 
-def graded_documents(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """key, w (words), seed (first grade); written once, as several passes read it. Documents without a word leave."""
-    w = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), words(F.col(text)).alias("w")).filter(F.size("w") > 0)
-    return staged(w.select("key", "w", formula_grade(F.col("text"), F.size("w")).alias("seed")), "graded")
+def graded_documents(documents: DataFrame, key: str, text: str, lang: str | None = None) -> DataFrame:
+    """key, lang, w (words), seed (first grade); written once, as several passes read it. Documents without a word leave.
+
+    lang is "=" and the language, or "" where it is NULL or no column is given, so that NULL is a group like others.
+    """
+    group = F.lit("") if lang is None else F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit(""))
+    w = documents.select(F.col(key).alias("key"), group.alias("lang"), F.col(text).alias("text"), words(F.col(text)).alias("w")).filter(F.size("w") > 0)
+    return staged(w.select("key", "lang", "w", formula_grade(F.col("text"), F.size("w")).alias("seed")), "graded")
 
 
 def graded_words(graded: DataFrame) -> DataFrame:
-    """key, seed, g (seed as a whole grade), word: one row per word of each document."""
+    """key, lang, seed, g (seed as a whole grade), word: one row per word of each document."""
     g = F.greatest(F.lit(0), F.least(F.lit(MAX_GRADE), F.round("seed"))).cast("int")
-    return graded.select("key", "seed", g.alias("g"), F.explode("w").alias("word"))
+    return graded.select("key", "lang", "seed", g.alias("g"), F.explode("w").alias("word"))
 
 
 def acquisition_grades(rows: DataFrame, share: float = 0.2, least: int = 3) -> DataFrame:
-    """word -> grade, n: the grade by which `share` of the word's use has appeared; words of fewer than `least` uses leave.
+    """lang, word -> grade, n: the grade by which `share` of the word's use has appeared; words of fewer than `least` uses leave.
 
     Use is taken per word of each grade, so that grades with much text do not count more.
     """
-    n = rows.groupBy("word", "g").agg(F.count("*").alias("n"))
-    sizes = n.groupBy("g").agg(F.sum("n").alias("size"))
-    # at most MAX_GRADE + 1 rows; grades of little text are damped by a floor of one part in a thousand
-    sizes = sizes.withColumn("all", F.sum("size").over(Window.partitionBy()))
-    rated = n.join(F.broadcast(sizes), "g").withColumn(
+    n = rows.groupBy("lang", "word", "g").agg(F.count("*").alias("n"))
+    sizes = n.groupBy("lang", "g").agg(F.sum("n").alias("size"))
+    # at most MAX_GRADE + 1 rows a language; grades of little text are damped by a floor of one part in a thousand
+    sizes = sizes.withColumn("all", F.sum("size").over(Window.partitionBy("lang")))
+    rated = n.join(F.broadcast(sizes), ["lang", "g"]).withColumn(
         "rate", F.col("n") / F.greatest(F.col("size"), F.col("all") / 1000)
     )
-    by_word = Window.partitionBy("word")
+    by_word = Window.partitionBy("lang", "word")
     run = by_word.orderBy("g")
     rated = rated.select(
-        "word", "g", F.sum("n").over(by_word).alias("n"),
+        "lang", "word", "g", F.sum("n").over(by_word).alias("n"),
         (F.sum("rate").over(run) / F.sum("rate").over(by_word)).alias("reached"),
     )
     reached = rated.filter((F.col("reached") >= share) & (F.col("n") >= least))
-    return reached.groupBy("word").agg(F.min("g").cast("int").alias("grade"), F.first("n").alias("n"))
+    return reached.groupBy("lang", "word").agg(F.min("g").cast("int").alias("grade"), F.first("n").alias("n"))
 
 
 def word_quantiles(rows: DataFrame, grades: DataFrame) -> DataFrame:
-    """key, seed, known, q: quantiles (QUANTILES) and mean of the grades of the document's known words."""
-    hit = rows.join(grades.select("word", "grade"), "word")
-    bins = hit.groupBy("key", "seed").agg(
+    """key, lang, seed, known, q: quantiles (QUANTILES) and mean of the grades of the document's known words."""
+    hit = rows.join(grades.select("lang", "word", "grade"), ["lang", "word"])
+    bins = hit.groupBy("key", "lang", "seed").agg(
         F.count("*").alias("known"),
         F.array(*[F.count(F.when(F.col("grade") == i, 1)) for i in range(MAX_GRADE + 1)]).alias("h"),
     )
@@ -108,50 +112,57 @@ def word_quantiles(rows: DataFrame, grades: DataFrame) -> DataFrame:
     weighted = F.aggregate(
         F.sequence(F.lit(0), F.lit(MAX_GRADE)), F.lit(0.0), lambda acc, i: acc + i * F.element_at("h", i + 1)
     )
-    return bins.select("key", "seed", "known", F.array(*[quantile(q) for q in QUANTILES], weighted / total).alias("q"))
+    return bins.select("key", "lang", "seed", "known", F.array(*[quantile(q) for q in QUANTILES], weighted / total).alias("q"))
 
 
-def calibrate(rows: DataFrame, ridge: float = 1e-3) -> np.ndarray:
-    """Coefficients (constant first) of the seed on the quantiles, by least squares over all rows.
+def calibrate(rows: DataFrame, ridge: float = 1e-3) -> dict[str, np.ndarray]:
+    """Per lang the coefficients (constant first) of the seed on the quantiles, by least squares over all its rows.
 
-    Only sums of products come to the driver. Seeds are cut to -3..MAX_GRADE + 10, against texts of one endless sentence.
+    Only sums of products come to the driver, a row for each language. Seeds are cut to -3..MAX_GRADE + 10, against texts of one endless sentence.
     """
     k = len(QUANTILES) + 2
     x = [F.lit(1.0), *[F.element_at("q", i + 1) for i in range(k - 1)]]
     y = F.greatest(F.lit(-3.0), F.least(F.lit(float(MAX_GRADE + 10)), F.col("seed")))
     sums = [F.sum(x[i] * x[j]).alias(f"x{i}_{j}") for i in range(k) for j in range(i, k)]
-    got = rows.agg(F.count("*").alias("n"), *sums, *[F.sum(x[i] * y).alias(f"y{i}") for i in range(k)]).first()
-    if not got["n"]:
-        return np.zeros(k)
-    a, b = np.zeros((k, k)), np.array([got[f"y{i}"] for i in range(k)])
-    for i in range(k):
-        for j in range(i, k):
-            a[i, j] = a[j, i] = got[f"x{i}_{j}"]
-    a /= got["n"]
+    sums += [F.sum(x[i] * y).alias(f"y{i}") for i in range(k)]
     penalty = np.diag([0.0] + [ridge] * (k - 1))
-    return np.linalg.solve(a + penalty + 1e-9 * np.eye(k), b / got["n"])
-
-
-def reading_levels(documents: DataFrame, key: str, text: str) -> DataFrame:
+    out = {}
+    for got in rows.groupBy("lang").agg(F.count("*").alias("n"), *sums).collect():
+        a, b = np.zeros((k, k)), np.array([got[f"y{i}"] for i in range(k)])
+        for i in range(k):
+            for j in range(i, k):
+                a[i, j] = a[j, i] = got[f"x{i}_{j}"]
+        a /= got["n"]
+        out[got["lang"]] = np.linalg.solve(a + penalty + 1e-9 * np.eye(k), b / got["n"])
+    return out
+
+
+def reading_levels(documents: DataFrame, key: str, text: str, lang: str | None = None) -> DataFrame:
     """key, words, known, seed_grade, grade, band (easy up to grade 5, hard from grade 13, else middle).
 
-    documents: of one language. Documents without a word leave; one without a known word keeps its seed as its grade.
+    documents: of one language, or with its column `lang`, which is then returned too: word grades and calibration are
+    made for each language by itself, those of NULL together. Documents without a word leave; one without a known word keeps its seed as its grade.
     Keys should be unique; of repeated rows of one key the words add up and the
     grades are averaged.
     """
-    graded = graded_documents(documents, key, text)
+    graded = graded_documents(documents, key, text, lang)
     rows = graded_words(graded)
     grades = cut(acquisition_grades(rows))
     quantiles = cut(word_quantiles(rows, grades))
-    beta = calibrate(quantiles)
-    level = F.lit(float(beta[0]))
-    for i, b in enumerate(beta[1:]):
-        level = level + F.lit(float(b)) * F.element_at("q", i + 1)
-    length = graded.groupBy("key").agg(F.sum(F.size("w")).alias("words"), F.avg("seed").alias("s"))
-    quantiles = quantiles.groupBy("key").agg(F.sum("known").alias("known"), F.first("seed").alias("seed"), F.avg(level).alias("grade"))
-    out = length.join(quantiles, "key", "left")
+    fitted = [(g, *map(float, beta)) for g, beta in calibrate(quantiles).items()]
+    names = [f"b{i}" for i in range(len(QUANTILES) + 2)]
+    betas = documents.sparkSession.createDataFrame(fitted, "lang string, " + ", ".join(f"{n} double" for n in names))
+    level = F.col("b0")
+    for i, n in enumerate(names[1:]):
+        level = level + F.col(n) * F.element_at("q", i + 1)
+    length = graded.groupBy("key", "lang").agg(F.sum(F.size("w")).alias("words"), F.avg("seed").alias("s"))
+    # a row for each language
+    quantiles = quantiles.join(F.broadcast(betas), "lang")
+    quantiles = quantiles.groupBy("key", "lang").agg(F.sum("known").alias("known"), F.first("seed").alias("seed"), F.avg(level).alias("grade"))
+    out = length.join(quantiles, ["key", "lang"], "left")
     grade = F.coalesce("grade", "s")
     return out.select(
-        "key", "words", F.coalesce("known", F.lit(0)).alias("known"), F.coalesce("seed", "s").alias("seed_grade"), grade.alias("grade"),
+        "key", *([] if lang is None else [F.when(F.col("lang") != "", F.substring("lang", 2, 2**31 - 1)).alias(lang)]), "words",
+        F.coalesce("known", F.lit(0)).alias("known"), F.coalesce("seed", "s").alias("seed_grade"), grade.alias("grade"),
         F.when(grade < 6, "easy").when(grade >= 13, "hard").otherwise("middle").alias("band"),
     )
