@@ -108,6 +108,39 @@ def sections(text: Column, boundary: str = r"\r?\n", least: int = 10) -> Column:
     return F.filter(parts, lambda x: F.length(x["text"]) >= least)
 
 
+# The passes over the markers of a statute, captures of the id first and the text last; they overlap.
+MARKERS = (
+    r"(?sU)\(([a-z])\)\s+(.*?)(?=\n\([a-z]\)|\z)",
+    r"(?sU)\((\d)\)\s+(.*?)(?=\n\s*\(\d\)|\n\([a-z]\)|\z)",
+    r"(?sU)\((\d)\)\(([A-Z])\)\s+(.*?)(?=\(\d\)\([A-Z]\)|\n\s*\(\d\)|\z)",
+)
+# Fixed value: a line break before a bullet or a word with a capital.
+BULLETS = r"(?U)\n(?=\s*[•●o]\s|\s{0,2}[A-Z][a-z])"
+
+
+def marked_sections(text: Column, prefix: str, least: int = 16) -> Column:
+    """Array of (section_id, text): what follows (letter), (digit) and (digit)(LETTER), a pass for each, squeezed.
+
+    Ids are the prefix and what is captured, in capitals. Texts shorter than `least` leave, then only the first of each
+    id stays, in the order of the passes.
+    """
+
+    def one(pattern: str, captures: int) -> Column:
+        parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i + 1)) for i in range(captures)]
+        ids = parts[0] if captures == 2 else F.zip_with(parts[0], parts[1], lambda a, b: F.concat(a, b))
+        return F.zip_with(ids, parts[-1], lambda i, t: F.struct(F.concat(F.lit(prefix), F.upper(i)).alias("section_id"), squeeze(t).alias("text")))
+
+    found = F.filter(F.concat(one(MARKERS[0], 2), one(MARKERS[1], 2), one(MARKERS[2], 3)), lambda x: F.length(x["text"]) >= least)
+    ids = F.transform(found, lambda x: x["section_id"])
+    return F.filter(found, lambda x, i: F.array_position(ids, x["section_id"]) == i + 1)
+
+
+def bullet_chunks(text: Column, least: int = 30) -> Column:
+    """Array of (no, text): the parts that begin with a bullet or a capital, those shorter than `least` left out."""
+    parts = F.transform(F.split(text, BULLETS), lambda x, i: F.struct((i + 1).alias("no"), F.regexp_replace(x, r"(?U)^\s+|\s+$", "").alias("text")))
+    return F.transform(F.filter(parts, lambda x: F.length(x["text"]) >= least), lambda x: F.struct(x["no"].alias("no"), squeeze(x["text"]).alias("text")))
+
+
 def plain_html(html: Column) -> Column:
     """Visible text by patterns: scripts, styles and tags dropped, common entities read. html_text() parses properly."""
     out = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")

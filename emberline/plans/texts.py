@@ -73,10 +73,9 @@ def confidence_hist(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def split_sections(spark: SparkSession, sf: str) -> DataFrame:
-    """Sections of at least ten characters, the first of each beginning, numbered per document."""
+    """Sections of at least ten characters, repeats of the whole text left out, numbered per document."""
     s = _docs(spark, sf).select("doc_id", F.explode(text.sections(F.col("text"))).alias("s")).select("doc_id", F.col("s.no").alias("no"), F.col("s.text").alias("text"))
-    s = s.withColumn("head", F.substring("text", 1, 20))
-    first = joins.first_k(s, ["doc_id", "head"], ["no"], 1).drop("rn")
+    first = joins.first_k(s, ["doc_id", "text"], ["no"], 1).drop("rn")
     numbered = joins.first_k(first, ["doc_id"], ["no"], 10**9, "seq")
     ids = F.format_string("%s_%03d", F.coalesce(F.upper(F.lit("sec")), F.lit("")), F.col("seq"))
     return numbered.select("doc_id", F.col("no").cast("long").alias("no"), ids.alias("section_id"), F.length("text").cast("long").alias("n"))

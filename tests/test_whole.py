@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import functions as F
+
+from emberline.functions import text
 from emberline.operators import vote
-from emberline.plans import detections
+from emberline.plans import detections, texts
 from tests.helpers import same_rows
 
 
@@ -37,3 +42,44 @@ def test_iou_pairs_of_all_detections(spark, sf, duck):
     whole = whole.replace("tile_id, det_no, round(", "tile_id, det_no, other_no, round(")
     same_rows(detections.iou_pairs(spark, sf), duck, whole)
     assert detections.iou_pairs(spark, sf).filter("other_no > det_no + 1").count() > 0
+
+
+def test_split_sections_keeps_common_beginnings(spark, sf, duck):
+    sql = texts.SQL["split_sections"]
+    assert "partition by doc_id, substr(t, 1, 20) order" in sql
+    same_rows(texts.split_sections(spark, sf), duck, sql.replace("substr(t, 1, 20)", "t"))
+
+
+STATUTE = """4291. (a) A person who owns a building shall do all of this:
+(1) Maintain defensible space of 100 feet
+from each side.
+ (1)(A) Keep the first five feet free of all fuel. (2)(B) Thin the shrubs beyond that distance.
+(2) short
+(b) Remove dead and dying wood from the roof.
+(3) Space out the crowns of all trees.
+(a) A second section of the same letter that leaves."""
+
+
+def test_marked_sections(spark):
+    """Against the patterns of the survey, run by Python."""
+    passes = [
+        (r"\(([a-z])\)\s+(.*?)(?=\n\([a-z]\)|\Z)", 1), (r"\((\d)\)\s+(.*?)(?=\n\s*\(\d\)|\n\([a-z]\)|\Z)", 1),
+        (r"\((\d)\)\(([A-Z])\)\s+(.*?)(?=\(\d\)\([A-Z]\)|\n\s*\(\d\)|\Z)", 2),
+    ]
+    want = {}
+    for pattern, ids in passes:
+        for m in re.finditer(pattern, STATUTE, re.DOTALL):
+            body = re.sub(r"\s+", " ", m.group(ids + 1).strip())
+            if len(body) > 15:
+                want.setdefault("P_" + "".join(m.groups()[:ids]).upper(), body)
+    df = spark.createDataFrame([(STATUTE,), ("no marker",), (None,)], "t string")
+    got = [r[0] for r in df.select(text.marked_sections(F.col("t"), "P_")).collect()]
+    assert [tuple(x) for x in got[0]] == list(want.items()) and set(want) == {"P_A", "P_B", "P_1", "P_3", "P_1A", "P_2B"}
+    assert got[1] == [] and got[2] is None
+
+
+def test_bullet_chunks(spark):
+    page = "HEADING ABOVE THAT ENDS\nthe same line goes on and on here\n • Clear the gutters of leaves and needles\n\nUse metal mesh on all of the vents, always\no Move firewood thirty feet away from walls\nShort one\n"
+    want = [re.sub(r"\s+", " ", c.strip()) for c in re.split(r"\n(?=\s*[•●o]\s|\s{0,2}[A-Z][a-z])", page) if len(c.strip()) >= 30]
+    got = spark.createDataFrame([(page,)], "t string").select(text.bullet_chunks(F.col("t"))).first()[0]
+    assert [x["text"] for x in got] == want and len(want) == 4
