@@ -105,15 +105,18 @@ def graph_context(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def graph_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    """Last severity per (class, violation): chips in order write over the one before."""
+    """Last severity per (class, violation): the earlier half of the chips is the graph, the later half writes over it."""
     f = chips(spark, sf, "compliance_findings").select("chip_id", F.explode("compliance_findings").alias("f")).select(
         "chip_id", F.lower(F.trim("f.object_class")).alias("src"), F.explode("f.violations").alias("v")
     )
     rows = f.filter("v is not null and v.violation_id is not null and src is not null").select(
-        "src", F.col("v.violation_id").alias("dst"), F.coalesce("v.severity", F.lit("")).alias("severity"), F.concat_ws("|", F.lpad(F.col("chip_id").cast("string"), 12, "0"), F.coalesce("v.severity", F.lit(""))).alias("seq")
+        "chip_id", "src", F.col("v.violation_id").alias("dst"), F.coalesce("v.severity", F.lit("")).alias("severity"), F.concat_ws("|", F.lpad(F.col("chip_id").cast("string"), 12, "0"), F.coalesce("v.severity", F.lit(""))).alias("seq")
     )
-    half = rows.filter("dst < 'V_G'")
-    return graph.upsert(half.limit(0), rows, ["src", "dst"], "seq").select("src", "dst", "severity")
+    middle = F.lit(chips(spark, sf).agg(F.expr("(min(chip_id) + max(chip_id)) div 2")).first()[0])
+    # a row that is there already has no place among the changes: were it compared with theirs, "~" would win
+    stored = rows.filter(F.col("chip_id") <= middle).groupBy("src", "dst").agg(F.max_by("severity", "seq").alias("severity")).withColumn("seq", F.lit("~"))
+    later = rows.filter(F.col("chip_id") > middle).drop("chip_id")
+    return graph.upsert(stored, later, ["src", "dst"], "seq").select("src", "dst", "severity")
 
 
 def graph_insert_absent(spark: SparkSession, sf: str) -> DataFrame:

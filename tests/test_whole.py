@@ -7,8 +7,8 @@ import re
 from pyspark.sql import functions as F
 
 from emberline.functions import text
-from emberline.operators import vote
-from emberline.plans import detections, texts
+from emberline.operators import graph, vote
+from emberline.plans import detections, graphs, texts
 from tests.helpers import same_rows
 
 
@@ -83,3 +83,16 @@ def test_bullet_chunks(spark):
     want = [re.sub(r"\s+", " ", c.strip()) for c in re.split(r"\n(?=\s*[•●o]\s|\s{0,2}[A-Z][a-z])", page) if len(c.strip()) >= 30]
     got = spark.createDataFrame([(page,)], "t string").select(text.bullet_chunks(F.col("t"))).first()[0]
     assert [x["text"] for x in got] == want and len(want) == 4
+
+
+def test_graph_upsert_writes_over_rows_that_are_there(spark, sf, duck, monkeypatch):
+    met = []
+    plain = graph.upsert
+
+    def spy(base, changes, keys, order):
+        met.append(base.join(changes, keys, "left_semi").count())
+        return plain(base, changes, keys, order)
+
+    monkeypatch.setattr(graph, "upsert", spy)
+    same_rows(graphs.graph_upsert(spark, sf), duck, graphs.SQL["graph_upsert"])
+    assert met[0] > 0
