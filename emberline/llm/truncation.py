@@ -112,34 +112,42 @@ def find_cut(values: DataFrame, threshold: float = 0.8, few: int = 6, keep_text:
     An end counts as cut when at least `threshold` of the evidence goes on behind it. A mark for cutting (CUT_MARKS)
     is no proof: the text before it is judged, once as it is and once with a full stop (where the same clause before
     is evidence enough), and one complete reading suffices. NULL and blank texts are never cut; a text of one clause that occurs nowhere else is not cut. Texts that
-    hold a JSON object are judged by their braces: cut if more open than close.
+    hold a JSON object are judged by what stands behind their last brace, with evidence from what others have there (after a
+    fence, or without one), and by an exact check: they are cut if more braces open than close.
     """
     values = values.drop("going_share", "is_cut")
     text = F.col("text")
     rest = [c for c in values.columns if c not in ("kind", "text")]
     braces = lambda b: F.length("text") - F.length(F.replace("text", F.lit(b), F.lit("")))
+    is_json = F.contains(text, F.lit("{"))
     # what stands before a JSON object goes on; its clauses count with the prose of their kind
-    material = F.when(F.contains(text, F.lit("{")), F.concat(F.substring_index(text, "{", 1), F.lit("\n{"))).otherwise(unmarked(text))
+    head = F.substring_index(text, "{", 1)
+    material = F.when(is_json, F.concat(head, F.lit("\n{"))).otherwise(unmarked(text))
+    behind = clauses(masked(F.concat(F.lit("}\n"), F.substring_index(unmarked(text), "}", -1))))
+    opened = F.when(F.contains(head, F.lit("```")), F.lit("```")).otherwise(F.lit("^"))
+    tail = F.concat(F.array(opened), F.slice(F.filter(behind, lambda x: x != ""), 2, F.size(behind)))
     ready = staged(
         values.select(
             *rest,
             "kind",
-            F.when(F.contains(text, F.lit("{")), (braces("{") > braces("}")).cast("double")).alias("__open"),
+            F.when(is_json, (braces("{") > braces("}")).cast("double")).alias("__open"),
             (unmarked(text) != stripped(text)).alias("__marked"),
-            F.when(material != "", clauses(masked(material))).alias("__c"),
+            # a fence that opens is no longer form of one that closes
+            F.when(material != "", clauses(masked(F.when(is_json, F.replace(material, F.lit("```"), F.lit("~~~"))).otherwise(material)))).alias("__c"),
+            F.when(is_json & (braces("{") <= braces("}")), tail).alias("__t"),
             *([F.col("text")] if keep_text else []),
         ),
         "clauses",
     )
-    counts = cut(clause_counts(ready.select("kind", F.col("__c").alias("c")).filter("c is not null")))
-    prose = F.col("__open").isNull() & F.col("__c").isNotNull()
+    counts = cut(clause_counts(ready.select("kind", F.explode(F.array("__c", "__t")).alias("c")).filter("c is not null")))
+    judged = F.when(F.col("__open").isNull(), F.col("__c")).otherwise(F.col("__t"))
     ended = ready.withColumns(
         {
-            "__before": F.when(prose, F.xxhash64(F.element_at("__c", -2))),
-            "__clause": F.when(prose, F.element_at("__c", -1)),
-            "__stop": F.when(prose & F.col("__marked"), F.concat(F.element_at("__c", -1), F.lit("."))),
+            "__before": F.when(judged.isNotNull(), F.xxhash64(F.element_at(judged, -2))),
+            "__clause": F.element_at(judged, -1),
+            "__stop": F.when(F.col("__marked"), F.concat(F.element_at(judged, -1), F.lit("."))),
         }
-    ).drop("__c", "__marked")
+    ).drop("__c", "__t", "__marked")
     found = ended.select("kind", F.col("__before").alias("before"), F.explode(F.array("__clause", "__stop")).alias("clause"))
     ends = cut(found.filter("clause is not null").distinct())
     near, wide = _shares(few)
@@ -151,5 +159,5 @@ def find_cut(values: DataFrame, threshold: float = 0.8, few: int = 6, keep_text:
         on = (F.col("kind") == F.col("__k")) & (F.col("__before") == F.col("__b")) & (F.col(column) == F.col("__e"))
         out = out.join(e, on, "left").drop("__k", "__b", "__e")
     share = F.least(F.coalesce("__s1", F.lit(0.0)), F.coalesce("__s2", "__s1", F.lit(0.0)))
-    out = out.withColumn("going_share", F.coalesce("__open", share))
+    out = out.withColumn("going_share", F.greatest(F.coalesce("__open", F.lit(0.0)), share))
     return out.withColumn("is_cut", F.col("going_share") >= threshold).drop("__open", "__before", "__clause", "__stop", "__s1", "__s2")
