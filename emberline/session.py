@@ -46,17 +46,28 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no one has used; release() removes it."""
+    path = os.path.join(shared_dir(spark), f"emberline-{name}-{uuid.uuid4().hex}")
+    written(spark).append(path)
+    return path
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no one has used."""
-    return os.path.join(shared_dir(spark), f"emberline-{name}-{uuid.uuid4().hex}")
+def written(spark: SparkSession) -> list[str]:
+    """The folders that this session wrote to the shared folder."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_emberline_written"):
+        sc._emberline_written = []
+    return sc._emberline_written
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Remove the folders written by this session (from the number `since` on); results that read them must be used up."""
+    paths = written(spark)
+    for path in paths[since:]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del paths[since:]
 
 
 def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -64,3 +75,12 @@ def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     path = path or new_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut: a table in the shared folder.
+
+    A checkpoint would keep the size estimate of the plan that it cuts, which a loop of joins multiplies in every round
+    until no size-based choice is right any more; a table read again is estimated by its files.
+    """
+    return staged(df, "cut")

@@ -53,17 +53,19 @@ def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes(id, attributes), edges(src, dst, attributes)); attributes map from name to text, by the file's key table."""
     read = lambda tag, ddl: spark.read.format("xml").option("rowTag", tag).schema(ddl).load(path)
     keys = read("key", "_id string, `_attr.name` string").select(F.col("_id").alias("k"), F.col("`_attr.name`").alias("name"))
-    listed = [(r["k"], r["name"]) for r in keys.distinct().limit(1000).collect()]  # the attribute names of a format, few
-    names = F.create_map(*[F.lit(x) for kv in listed for x in kv]) if listed else F.expr("cast(map() as map<string, string>)")
-    named = F.map_from_entries(
-        F.transform(
-            F.coalesce("data", F.array().cast("array<struct<_key: string, _VALUE: string>>")),
-            lambda d: F.struct(F.coalesce(F.try_element_at(names, d["_key"]), d["_key"]).alias("k"), d["_VALUE"].alias("v")),
-        )
-    )
-    nodes = read("node", f"_id string, {_GRAPHML_DATA}").select(F.col("_id").alias("id"), named.alias("attributes"))
-    edges = read("edge", f"_source string, _target string, {_GRAPHML_DATA}")
-    return nodes, edges.select(F.col("_source").alias("src"), F.col("_target").alias("dst"), named.alias("attributes"))
+    keys = keys.groupBy("k").agg(F.min("name").alias("name"))
+
+    def attributes(rows: DataFrame, ends: list[str]) -> DataFrame:
+        """Rows with their data elements named; a row number keeps repeated elements apart."""
+        numbered = rows.withColumn("__row", F.monotonically_increasing_id())
+        entries = numbered.select("__row", *ends, F.explode_outer("data").alias("d")).select("__row", *ends, F.col("d._key").alias("k"), F.col("d._VALUE").alias("v"))
+        named = entries.join(keys, "k", "left").withColumn("name", F.coalesce("name", "k"))
+        pairs = F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "v")))  # the data elements of one node or edge
+        return named.groupBy("__row", *ends).agg(F.map_from_entries(pairs).alias("attributes")).drop("__row")
+
+    nodes = read("node", f"_id string, {_GRAPHML_DATA}").select(F.col("_id").alias("id"), "data")
+    edges = read("edge", f"_source string, _target string, {_GRAPHML_DATA}").select(F.col("_source").alias("src"), F.col("_target").alias("dst"), "data")
+    return attributes(nodes, ["id"]), attributes(edges, ["src", "dst"])
 
 
 def whole_texts(spark: SparkSession, path: str, fallback: str, least: int = 200) -> DataFrame:

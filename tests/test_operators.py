@@ -208,3 +208,37 @@ def test_model_hook(spark):
 
 def test_kept_mask():
     assert suppress.kept(np.zeros((0, 4)), 0.5).tolist() == []
+
+
+def test_cut_keeps_the_size_estimate_of_the_rows(spark):
+    """Twenty rounds of a join with itself: the estimate stays near the size of what was written."""
+    from emberline.session import cut
+
+    df = cut(spark.range(500).withColumn("a", F.col("id") % 7))
+    for _ in range(20):
+        df = cut(df.join(df.groupBy("a").agg(F.count("*").alias("n")), "a").select("id", "a"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert df.count() == 500 and size < 10 * 500 * 16
+
+
+def test_components_of_paths_rings_and_hubs(spark):
+    path = [(i, i + 1) for i in range(300)]
+    ring = [(1000 + i, 1000 + (i + 1) % 50) for i in range(50)]
+    hub = [(2500, 2000 + i) for i in range(400)]
+    edges = spark.createDataFrame(path + ring + hub + [(5, 5), (None, 3)], "src long, dst long")
+    got = {r["id"]: r["component"] for r in graph.components(edges, spark.createDataFrame([(9999,)], "id long")).collect()}
+    assert {got[i] for i in range(301)} == {0} and {got[1000 + i] for i in range(50)} == {1000}
+    assert {got[2000 + i] for i in range(400)} == {2000} == {got[2500]} and got[9999] == 9999
+
+
+def test_release_removes_what_was_written(spark):
+    import os
+
+    from emberline.session import new_path, release, staged, written
+
+    held = len(written(spark))
+    path = new_path(spark, "x")
+    staged(spark.range(3), "x", path)
+    assert os.path.isdir(path)
+    release(spark, held)
+    assert not os.path.exists(path) and len(written(spark)) == held
