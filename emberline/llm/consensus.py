@@ -2,22 +2,31 @@
 
 Model: annotator i labels item j rightly with probability sigmoid(a_i * exp(b_j)), where a_i is skill (negative for
 one who is wrong on purpose) and exp(b_j) is how easy the item is; a wrong label is any other class alike. Gradient
-expectation-maximisation: each round computes the posterior of every item's class, then moves all a and b one step
-along the gradient of the expected log-likelihood, scaled by its curvature; normal priors keep both finite.
+expectation-maximisation: each round finds, for the skills of the round before, every item's posterior and ease (gradient
+steps inside the item's own row), then moves all skills one step along the gradient of the expected log-likelihood,
+scaled by its curvature; normal priors keep both finite. Rounds end when no skill moves any more.
 
-The state is one narrow row per (item, annotator); a round is one pass over it, partitioned by item, and one small
-aggregation by annotator with map-side combine. An item holds at most one row per annotator; an annotator may hold any
-share of the rows.
+An item is one row with the array of its labels, written once; a round is one map over these rows and one small sum per annotator with
+map-side combine, so nothing of the items is shuffled or written again. An annotator may hold any share of the labels.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.operators.joins import surrogate_ids
 from emberline.session import cut
 
 LEVELS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
+# Annotators whose skills are broadcast (8 MB); beyond that they are joined.
+MAX_SHARED = 1_000_000
+# Steps of an item's ease within a round; each starts at 0 and rarely takes ten.
+MOST_STEPS = 50
 
 
 def usable_label(raw: Column) -> Column:
@@ -46,60 +55,119 @@ def latest_labels(rows: DataFrame, item: str, annotator: str, label: str, at: st
     return latest.select("item", "annotator", "r.*")
 
 
-def fit(labels: DataFrame, rounds: int = 14, levels: tuple[str, ...] = LEVELS, rate: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def _posteriors(lens: np.ndarray, lab: np.ndarray, a: np.ndarray, prior: np.ndarray, rate: float) -> tuple[np.ndarray, ...]:
+    """(posterior n x k, b, miss, bend, ease) of n items, whose labels lie one after another in `lab` and skills in `a`.
+
+    Given the skills, every item's posterior and ease are found together: gradient steps of b, scaled by its curvature, each
+    with a new posterior, until none moves by more than a thousandth.
+    """
+    n, k = len(lens), len(prior)
+    of = np.repeat(np.arange(n), lens)
+    b, least = np.zeros(n), 1e-6
+
+    def state() -> tuple[np.ndarray, ...]:
+        ease = np.exp(b)[of]
+        s = np.clip(1 / (1 + np.exp(-a * ease)), least, 1 - least)
+        wrong = np.log((1 - s) / (k - 1))
+        score = np.log(prior) + np.bincount(of, wrong, n)[:, None] + np.bincount(of * k + lab, np.log(s) - wrong, n * k).reshape(n, k)
+        post = np.exp(score - score.max(axis=1, keepdims=True))
+        post /= post.sum(axis=1, keepdims=True)
+        return post, post[of, lab] - s, s * (1 - s), ease
+
+    for _ in range(MOST_STEPS):
+        _, miss, bend, ease = state()
+        step = rate * (np.bincount(of, miss * a * ease, n) - b) / (np.bincount(of, bend * (a * ease) ** 2, n) + 1)
+        moved = np.clip(b + step, -2, 2)
+        still = not n or np.abs(moved - b).max() < 1e-3
+        b = moved
+        if still:
+            break
+    post, miss, bend, ease = state()
+    return post, b, miss, bend, ease
+
+
+def _flat(column: pd.Series, kind: str) -> np.ndarray:
+    return np.concatenate([np.asarray(x) for x in column]).astype(kind) if len(column) else np.zeros(0, kind)
+
+
+def fit(
+    labels: DataFrame, rounds: int = 100, levels: tuple[str, ...] = LEVELS, rate: float = 0.8, tolerance: float = 1e-3, shared: int = MAX_SHARED
+) -> tuple[DataFrame, DataFrame]:
     """(items, annotators) of labels (item, annotator, label), at most one row per item and annotator.
 
     items: item, label (posterior mode; ties go to the level first in `levels`), posterior, difficulty, n. annotators:
-    annotator, skill, n. An empty table gives two empty ones.
+    annotator, skill, n, residual (the last step of any skill), rounds. Rounds go on until no skill moves by more than
+    `tolerance`; if `rounds` run out before, the residual tells. Up to `shared` annotators their skills are broadcast (8 bytes each);
+    more are joined to the labels in every round, with the same result. An empty table gives two empty ones.
     """
-    k = len(levels)
+    k, spark = len(levels), labels.sparkSession
     index = F.array_position(F.array(*map(F.lit, levels)), F.col("label")).cast("int") - 1
-    state = cut(labels.select("item", "annotator", index.alias("l"), F.lit(0.0).alias("b")).repartition("item"))
-    skill = state.groupBy("annotator").agg(F.lit(1.0).alias("a"))
-    shares = {r["l"]: r["n"] for r in state.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    prior = [(shares.get(i, 0) + 1) / (sum(shares.values()) + k) for i in range(k)]
-    by_item = Window.partitionBy("item")
-
-    def expected(rows: DataFrame, a: DataFrame) -> DataFrame:
-        right = 1 / (1 + F.exp(-F.col("a") * F.exp("b")))
-        rows = rows.join(a, "annotator").withColumn("s", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), right)))
-        scores = [
-            F.sum(F.when(F.col("l") == z, F.log("s")).otherwise(F.log((1 - F.col("s")) / (k - 1)))).over(by_item)
-            + F.log(F.lit(prior[z]))
-            for z in range(k)
-        ]
-        rows = rows.withColumn("score", F.array(*scores)).withColumn("top", F.array_max("score"))
-        rows = rows.withColumn("w", F.transform("score", lambda x: F.exp(x - F.col("top"))))
-        total = F.aggregate("w", F.lit(0.0), lambda x, y: x + y)
-        return rows.withColumn("post", F.transform("w", lambda x: x / total)).drop("score", "top", "w")
-
-    for _ in range(rounds):
-        rows = expected(state, skill)
-        miss = F.element_at("post", F.col("l") + 1) - F.col("s")
-        ease, bend = F.exp("b"), F.col("s") * (1 - F.col("s"))
-        up_b = F.sum(miss * F.col("a") * ease).over(by_item) - F.col("b")
-        curve_b = F.sum(bend * (F.col("a") * ease) ** 2).over(by_item) + 1
-        moved = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.col("b") + rate * up_b / curve_b))
-        state = cut(
-            rows.select(
-                "item", "annotator", "l", moved.alias("b"), F.col("a").alias("old_a"),
-                (miss * ease).alias("up"), (bend * ease**2).alias("curve"),
-            )
-        )
-        step = (F.sum("up") - (F.first("old_a") - 1)) / (F.sum("curve") + 1)
-        skill = cut(state.groupBy("annotator").agg((F.first("old_a") + rate * step).alias("a")))
-    final = cut(expected(state, skill))
-    best = F.array_position("post", F.array_max("post")).cast("int")
-    items = final.groupBy("item").agg(F.first("post").alias("post"), F.first("b").alias("b"), F.count("*").alias("n"))
-    items = items.select(
-        "item",
-        F.element_at(F.array(*map(F.lit, levels)), best).alias("label"),
-        F.array_max("post").alias("posterior"),
-        F.exp(-F.col("b")).alias("difficulty"),
-        "n",
-    )
-    annotators = final.groupBy("annotator").agg(F.first("a").alias("skill"), F.count("*").alias("n"))
-    return items, annotators
+    rows = labels.select("item", "annotator", index.alias("l"))
+    who = cut(surrogate_ids(rows.groupBy("annotator").agg(F.count("*").alias("n")), ["annotator"], "at", 0))
+    # an item's row holds its labels, one of each annotator at most
+    state = rows.join(who.select("annotator", "at"), "annotator").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", "l"))).alias("x"))
+    state = cut(state.select("item", F.col("x.at").alias("at"), F.col("x.l").alias("l")))
+    size = who.count()
+    counts = {r["l"]: r["n"] for r in state.select(F.explode("l").alias("l")).groupBy("l").agg(F.count("*").alias("n")).collect()}
+    prior = np.array([(counts.get(i, 0) + 1) / (sum(counts.values()) + k) for i in range(k)])
+
+    def given(skills: np.ndarray | DataFrame) -> tuple[DataFrame, Callable[[pd.DataFrame], np.ndarray]]:
+        """The items, and how a batch of them comes by the skills of its labels."""
+        if isinstance(skills, np.ndarray):
+            held = spark.sparkContext.broadcast(skills)
+            return state, lambda batch: held.value[_flat(batch["at"], "int64")]
+        each = state.select("item", F.posexplode(F.arrays_zip("at", "l")).alias("i", "x")).select("item", "i", F.col("x.at").alias("at"), F.col("x.l").alias("l"))
+        again = each.join(skills, "at").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("i", "at", "l", "a"))).alias("x"))
+        return again.select("item", F.col("x.at").alias("at"), F.col("x.l").alias("l"), F.col("x.a").alias("a")), lambda batch: _flat(batch["a"], "float64")
+
+    def gradients(skills: np.ndarray | DataFrame) -> DataFrame:
+        """at, up, curve: one row per annotator and task, summed over tasks."""
+        rows, skill_of = given(skills)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                lens = batch["at"].map(len).to_numpy()
+                at, lab = _flat(batch["at"], "int64"), _flat(batch["l"], "int64")
+                _, _, miss, bend, ease = _posteriors(lens, lab, skill_of(batch), prior, rate)
+                seen, place = np.unique(at, return_inverse=True)
+                yield pd.DataFrame({"at": seen, "up": np.bincount(place, miss * ease, len(seen)), "curve": np.bincount(place, bend * ease**2, len(seen))})
+
+        return rows.drop("item").mapInPandas(run, "at long, up double, curve double").groupBy("at").agg(F.sum("up").alias("up"), F.sum("curve").alias("curve"))
+
+    skills: np.ndarray | DataFrame = np.ones(size) if size <= shared else cut(who.select("at", F.lit(1.0).alias("a")))
+    residual, made = 0.0, 0
+    while made < rounds and size:
+        made += 1
+        if isinstance(skills, np.ndarray):
+            got = gradients(skills).toPandas()  # at most `shared` rows
+            up, curve = np.zeros(size), np.zeros(size)
+            up[got["at"]], curve[got["at"]] = got["up"], got["curve"]
+            step = rate * (up - (skills - 1)) / (curve + 1)
+            skills, residual = skills + step, float(np.abs(step).max())
+        else:
+            step = rate * (F.col("up") - (F.col("a") - 1)) / (F.col("curve") + 1)
+            moved = cut(skills.join(gradients(skills), "at").select("at", (F.col("a") + step).alias("a"), F.abs(step).alias("step")))
+            residual = float(moved.agg(F.max("step").alias("m")).first()["m"])
+            skills = moved.select("at", "a")
+        if residual <= tolerance:
+            break
+
+    rows, skill_of = given(skills)
+    names = np.array(levels, dtype=object)
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lens = batch["at"].map(len).to_numpy()
+            post, b, _, _, _ = _posteriors(lens, _flat(batch["l"], "int64"), skill_of(batch), prior, rate)
+            best = np.round(post, 9).argmax(axis=1) if len(lens) else np.zeros(0, int)
+            yield pd.DataFrame({"item": batch["item"], "label": names[best], "posterior": post.max(axis=1) if len(lens) else [], "difficulty": np.exp(-b), "n": lens})
+
+    kind = state.schema["item"].dataType.simpleString()
+    items = rows.mapInPandas(judge, f"item {kind}, label string, posterior double, difficulty double, n long")
+    if isinstance(skills, np.ndarray):
+        skills = spark.createDataFrame(pd.DataFrame({"at": np.arange(size), "a": skills}), "at long, a double")
+    found = who.join(skills, "at").select("annotator", F.col("a").alias("skill"), "n", F.lit(residual).alias("residual"), F.lit(made).alias("rounds"))
+    return items, found
 
 
 def label_agreement(labels: DataFrame) -> DataFrame:

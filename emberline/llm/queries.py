@@ -52,19 +52,20 @@ def p1_unmatched(spark: SparkSession, sf: str) -> DataFrame:
 # 2: consensus
 
 
-def _labels(spark: SparkSession, sf: str) -> DataFrame:
+def _labels(spark: SparkSession, sf: str, keep: tuple[str, ...] = ()) -> DataFrame:
     finding = F.transform("violations", lambda v: F.concat_ws("@", F.lower(F.trim(v["object_class"])), v["zone"]))
     rows = _table(spark, sf, "results_summary").select(
         "summary_id", "parcel_id", "annotator", "risk_label", "labelled_at", finding.alias("findings")
     )
     return cut(
-        consensus.latest_labels(rows, "parcel_id", "annotator", "risk_label", "labelled_at", "summary_id", ["findings"])
+        consensus.latest_labels(rows, "parcel_id", "annotator", "risk_label", "labelled_at", "summary_id", list(keep))
     )
 
 
 def _judged(labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(items, annotators with skill, annotators with their share of labels equal to the consensus of listed items)."""
     items, annotators = consensus.fit(labels.select("item", "annotator", "label"))
+    items = cut(items)
     listed = items.filter("n >= 3")
     against = labels.select("item", "annotator", F.col("label").alias("own")).join(listed.select("item", "label"), "item")
     share = against.groupBy("annotator").agg(
@@ -86,7 +87,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_parcels(spark: SparkSession, sf: str) -> DataFrame:
     """Consensus, posterior, difficulty and both agreements of every parcel."""
-    labels = _labels(spark, sf)
+    labels = _labels(spark, sf, ("findings",))
     items, _ = consensus.fit(labels.select("item", "annotator", "label"))
     found = consensus.finding_agreement(labels).select("item", "findings", "finding_agreement", F.col("corrected").alias("finding_corrected"))
     out = items.join(consensus.label_agreement(labels).select("item", "observed", "agreement"), "item").join(found, "item")
