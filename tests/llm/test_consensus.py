@@ -81,3 +81,14 @@ def test_findings(spark):
     data = [("p", "a", ["x", "y", None]), ("p", "b", ["x", "x"]), ("p", "c", None), ("q", "a", ["x"]), ("r", "a", None), ("r", "b", [])]
     got = {r["item"]: r["finding_agreement"] for r in consensus.finding_agreement(spark.createDataFrame(data, "item string, annotator string, findings array<string>")).collect()}
     assert got == {"p": pytest.approx(2 / (3 * 2)), "q": None, "r": None}
+
+
+def test_many_rounds_and_a_join_for_the_skills(fitted, spark):
+    """Skills settle before the rounds end, and joined skills give what broadcast ones do."""
+    _, _, labels, items, skill = fitted
+    _, annotators = consensus.fit(labels)
+    assert all(r["residual"] <= 1e-3 and r["rounds"] < 100 for r in annotators.collect())
+    few = labels.filter("item < 'p2'")
+    a, b = consensus.fit(few, rounds=4), consensus.fit(few, rounds=4, shared=0)
+    assert {r["item"]: (r["label"], round(r["posterior"], 9)) for r in a[0].collect()} == {r["item"]: (r["label"], round(r["posterior"], 9)) for r in b[0].collect()}
+    assert {r["annotator"]: round(r["skill"], 9) for r in a[1].collect()} == {r["annotator"]: round(r["skill"], 9) for r in b[1].collect()}
