@@ -72,7 +72,7 @@ class PairTable:
     buckets per table, fixed for the life of a state: enough of them that one is written by one task.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16):
         self.spark, self.buckets = spark, buckets
         self.path = path or new_path(spark, "pairs")
         self._dir = self._at(self.path)

@@ -199,9 +199,9 @@ def p6_windows(spark: SparkSession, sf: str) -> DataFrame:
 # 7: mixing
 
 
-def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, mixing.SourceModel]:
+def _mixed(spark: SparkSession, sf: str, trust: float = 1.0) -> tuple[DataFrame, DataFrame, mixing.SourceModel]:
     documents = _table(spark, sf, "documents").select("doc_id", "text", "source")
-    return mixing.mix(documents, _table(spark, sf, "mix_targets"), "doc_id", "text", "source")
+    return mixing.mix(documents, _table(spark, sf, "mix_targets"), "doc_id", "text", "source", trust)
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -212,6 +212,11 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mixed(spark, sf)[1]
 
 
+def p7_soft_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares when a label counts for four fifths of a document's membership and its text for the rest."""
+    return _mixed(spark, sf, 0.8)[1]
+
+
 def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
     """The documents of each mix with their repeats."""
     return _mixed(spark, sf)[0].withColumnRenamed("key", "doc_id")

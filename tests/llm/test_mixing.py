@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from emberline.llm import mixing
 
@@ -54,6 +55,27 @@ def test_empty_and_single_source(spark, docs):
 def test_rates_stay_within_limits():
     import numpy as np
 
-    plan = mixing.Plan(("a", "b"), ("m",), np.array([[2.0, 0.0]]), np.array([[5.0, 5.0]]), (np.array([[-9.0, 3.0]]),))
-    r = plan.rates(np.array([[1.0, 0.0], [0.5, 0.5], [0.0, 1.0]]), 0)
+    plan = mixing.Plan(("a", "b"), ("m",), np.array([[2.0, 0.0]]), np.array([[5.0, 5.0]]), labelled=(np.array([[-9.0, 3.0]]),))
+    r = plan.rates(np.array([[1.0, 0.0], [0.5, 0.5], [0.0, 1.0]]), 0, True)
     assert (r >= 0).all() and r.tolist() == [2.0, 1.0, 0.0]
+
+
+def test_soft_membership_settles_and_documents_without_source_fill_up(spark, docs):
+    targets = spark.createDataFrame([("even", "notes", 0.5, 2), ("even", "letters", 0.3, 4), ("even", "statutes", 0.2, 9), ("tight", "statutes", 0.5, 2), ("tight", "notes", 0.5, 2)], TARGETS)
+    _, soft, _ = mixing.mix(docs, targets, "doc_id", "text", "source", 0.7)
+    got = {(r["mix_name"], r["source"]): r for r in soft.collect()}
+    assert all(r["settled"] for r in got.values())
+    assert all(got["even", s]["residual"] < 0.02 for s in ("notes", "letters", "statutes"))
+    used, hard, _ = mixing.mix(docs, targets, "doc_id", "text", "source")
+    tight = {r["source"]: r for r in hard.filter("mix_name = 'tight'").collect()}
+    assert tight["statutes"]["short"] and tight["statutes"]["used_up"] and tight["statutes"]["residual"] > 0.1
+    # those without a source come only where one is missing
+    filled = {r["mix_name"]: r["n"] for r in used.filter("source is null").groupBy("mix_name").agg(F.sum("n_tokens").alias("n")).collect()}
+    assert filled.get("tight", 0) > 0 and "even" not in filled
+
+
+def test_targets_beyond_the_bound_are_an_error(spark, docs, monkeypatch):
+    targets = spark.createDataFrame([("m", f"s{i}", 0.1, 1) for i in range(9)], TARGETS)
+    monkeypatch.setattr(mixing, "MAX_TARGETS", 8)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, targets, "doc_id", "text", "source")
