@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.operators.scan import running_total
+from emberline.session import cut
 
 CAPACITY = 4096
 
@@ -51,30 +52,29 @@ def pieces(items: DataFrame, key: str, source: str, size: str, capacity: int = C
     )
 
 
-def assign_windows(parts: DataFrame, shares: dict[str | None, float] | None, window: int, round_tokens: int) -> DataFrame:
-    """parts with `round` and `window`, by deficit round-robin.
+def assign_windows(parts: DataFrame, shares: dict[str | None, float] | None, window: int, round_tokens: int, least: int = 1) -> DataFrame:
+    """parts with `round` and `window`, by deficit round-robin. An item takes at least `least` tokens of a window, which bounds a window's rows.
 
     shares: target proportion per source; default is each source's own share of all tokens, so that all queues end
     together. Sources that `shares` lacks get their own share as well. When a queue is empty the others go on, so
     windows stay full.
     """
-    totals = parts.groupBy("source").agg(F.sum("size").alias("total"))
-    everything = Window.partitionBy()
-    totals = totals.withColumn("share", F.col("total") / F.greatest(F.sum("total").over(everything), F.lit(1)))
-    for name, share in (shares or {}).items():
-        totals = totals.withColumn("share", F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(share))).otherwise(F.col("share")))
-    # a queue's running total is the total over (source, order) less what the sources before it hold
-    totals = totals.withColumn(
-        "start", F.coalesce(F.sum("total").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).withColumn("quantum", F.greatest(F.col("share") * round_tokens, F.lit(1.0)))
     keyed = parts.withColumn("order", F.xxhash64("item"))
-    queued = running_total(keyed, ["source", "order", "item", "piece_no"], "size", "queued")
-    limits = totals.select(F.col("source").alias("__source"), "start", "quantum")
+    queued = cut(running_total(keyed, ["source", "order", "item", "piece_no"], "size", "queued"))
+    # one row per source; a queue's own running total is the one over (source, order) less what lies before its first item
+    totals = queued.groupBy("source").agg(F.sum("size").alias("total"), F.min("queued").alias("start"))
+    everything = queued.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    share = F.col("total") / F.lit(max(everything, 1))
+    for name, wanted in (shares or {}).items():
+        share = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(wanted))).otherwise(share)
+    limits = cut(totals.select(F.col("source").alias("__source"), "start", F.greatest(share * round_tokens, F.lit(1.0)).alias("quantum")))
     joined = queued.join(limits, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     turn = F.greatest(F.ceil((F.col("queued") - F.col("start") + F.col("size")) / F.col("quantum")), F.lit(1))
     turned = joined.withColumn("round", turn.cast("long")).drop("start", "quantum", "queued")
-    placed = running_total(turned, ["round", "source", "order", "item", "piece_no"], "size", "before")
-    return placed.withColumn("window", F.floor(F.col("before") / window).cast("long")).drop("before", "order")
+    # small items count `least` tokens here, so that a window is of bounded rows too
+    turned = turned.withColumn("__room", F.greatest(F.col("size"), F.lit(least)))
+    placed = running_total(turned, ["round", "source", "order", "item", "piece_no"], "__room", "before")
+    return placed.withColumn("window", F.floor(F.col("before") / window).cast("long")).drop("before", "order", "__room")
 
 
 def pack(
@@ -89,12 +89,12 @@ def pack(
     """window, container, item, source, piece_no, pieces, token_from, size: every item, none left out.
 
     Pieces of full capacity fill a container each and are numbered below 0 within their window; the others are packed
-    by best fit. A window holds at most containers_per_window capacities of tokens (and the item that crosses its
-    end), whatever the data. Rows repeated in `items` are packed as often as they come; keys should be unique.
+    by best fit. A window holds at most containers_per_window capacities of tokens and 256 times as many items (and the item that
+    crosses its end), whatever the data: items of less than a 256th of the capacity, empty ones too, count as one. Rows repeated in `items` are packed as often as they come; keys should be unique.
     """
     window_tokens = capacity * containers_per_window
     parts = pieces(items, key, source, size, capacity)
-    placed = assign_windows(parts, shares, window_tokens, max(window_tokens // 4, 1))
+    placed = cut(assign_windows(parts, shares, window_tokens, max(window_tokens // 4, 1), max(capacity // 256, 1)))
     names = ["window", "item", "source", "piece_no", "pieces", "token_from", "size"]
     full = placed.filter(F.col("size") == capacity)
     # a window has at most containers_per_window + 1 of them
@@ -112,6 +112,12 @@ def pack(
     return full.unionByName(rest)
 
 
+def divided(packed: DataFrame) -> DataFrame:
+    """item, containers: the items that lie in more than one container."""
+    per = packed.groupBy("item").agg(F.countDistinct("window", "container").alias("containers"))
+    return per.filter("containers > 1")
+
+
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """containers, tokens, unused_share, of all containers."""
     per = packed.groupBy("window", "container").agg(F.sum("size").alias("tokens"))

@@ -173,14 +173,30 @@ def p5_scores(spark: SparkSession, sf: str) -> DataFrame:
 # 6: packing
 
 
-def _packed(spark: SparkSession, sf: str) -> DataFrame:
+def _packed(spark: SparkSession, sf: str, shares: dict[str | None, float] | None = None) -> DataFrame:
     # counted once: packing makes several passes over the sizes
     sized = cut(tokens.with_tokens(_table(spark, sf, "documents").select("doc_id", "source", "text")).drop("text"))
-    return packing.pack(sized, "doc_id", "source", "n_tokens")
+    return packing.pack(sized, "doc_id", "source", "n_tokens", shares=shares)
+
+
+def _first_mix(spark: SparkSession, sf: str) -> dict[str | None, float]:
+    """The target shares of the mix whose name comes first; sources that it lacks come last, after a tiny share each."""
+    targets = _table(spark, sf, "mix_targets").distinct()
+    asked = mixing.goals(targets, 1.0)
+    named = dict(zip(asked.sources[:-1], map(float, asked.goal[0]), strict=False)) if len(asked.mixes) else {}
+    others = _table(spark, sf, "documents").select("source").distinct().limit(mixing.MAX_SOURCES + 1).collect()
+    if len(others) > mixing.MAX_SOURCES:
+        raise ValueError(f"more than {mixing.MAX_SOURCES} sources")
+    return {r["source"]: max(named.get(r["source"], 0.0), 1e-6) for r in others}
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _packed(spark, sf).filter("pieces > 1").select(F.col("item").alias("doc_id")).distinct()
+    return packing.divided(_packed(spark, sf, _first_mix(spark, sf))).select(F.col("item").alias("doc_id"))
+
+
+def p6_mixed_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of each source in each window when the windows are filled to the target shares of a mix, as long as its queues last."""
+    return packing.window_report(_packed(spark, sf, _first_mix(spark, sf)))
 
 
 def p6_containers(spark: SparkSession, sf: str) -> DataFrame:

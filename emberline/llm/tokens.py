@@ -49,7 +49,8 @@ def token_count(text: Column, vocabulary: str | None = None) -> Column:
 
 
 def with_tokens(documents: DataFrame, text: str = "text", vocabulary: str | None = None, into: str = "n_tokens") -> DataFrame:
-    """documents with their token counts, spread over all cores: encoding costs more than its input is large."""
-    spark = documents.sparkSession
-    width = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return documents.repartition(width).withColumn(into, token_count(F.col(text), vocabulary))
+    """documents with their token counts, taken where the texts are read: no text is shuffled.
+
+    Encoding costs more than its input is large, so read with spark.sql.files.maxPartitionBytes small enough to give every core a part.
+    """
+    return documents.withColumn(into, token_count(F.col(text), vocabulary))

@@ -55,6 +55,15 @@ def test_targets(items):
     assert abs(first["hot"] - 0.4) < 0.08 and abs(first["a"] - 0.3) < 0.08
 
 
+def test_empty_items_do_not_pile_up(spark):
+    """Windows are of bounded rows also where nothing has a size."""
+    df = spark.range(5000).select(F.col("id"), F.lit("s").alias("source"), F.lit(0).alias("n")).unionByName(spark.createDataFrame([(9000, "s", 2500)], "id long, source string, n int"))
+    out = packing.pack(df, "id", "source", "n", capacity=1000, containers_per_window=4)
+    rows = {r["window"]: r["n"] for r in out.groupBy("window").agg(F.count("*").alias("n")).collect()}
+    assert sum(rows.values()) == 5003 and max(rows.values()) <= 4 * 1000 // 3 + 1
+    assert [r["item"] for r in packing.divided(out).collect()] == [9000]
+
+
 def test_best_fit():
     assert packing.best_fit([5, 5, 6, 4], 10) == [1, 1, 0, 0]
     assert packing.best_fit([], 10) == []
