@@ -19,9 +19,9 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 # 1: free values to the reference list
 
 
-def _typed(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, list[str]]]:
+def _typed(spark: SparkSession, sf: str) -> tuple[DataFrame, canonical.Names]:
     """Each detection's class of each tile once, and the reference list."""
-    names = canonical.reference_list(_table(spark, sf, "lab_taxonomy"))
+    names = canonical.reference_blocks(_table(spark, sf, "lab_taxonomy"))
     tiles = _table(spark, sf, "tile_results").select("tile_id", effective_field("object_class").alias("classes")).distinct()
     typed = tiles.select("tile_id", F.posexplode("classes").alias("det_no", "object_class"))
     return typed.filter(F.rlike("object_class", F.lit(r"(?U)\S"))), names
@@ -29,8 +29,8 @@ def _typed(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, list[str]
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     typed, names = _typed(spark, sf)
-    free = typed.filter(~F.col("object_class").isin(*names))
-    return canonical.canonicalise(free, "object_class", names).select("tile_id", "det_no", "canonical_class").distinct()
+    free = canonical.canonicalise(typed, "object_class", names).filter("found_by <> 'exact'")
+    return free.select("tile_id", "det_no", "canonical_class").distinct()
 
 
 def p1_classes(spark: SparkSession, sf: str) -> DataFrame:

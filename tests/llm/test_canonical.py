@@ -86,3 +86,28 @@ def test_table(spark):
     assert len(out) == 33 and 3 not in out and 4 not in out and out[20] == ("passenger_vehicle", "mention")
     assert canonical.canonicalise(df.limit(0), "object_class", NAMES).count() == 0
     assert {r["canonical_class"] for r in canonical.canonicalise(df, "object_class", {}).collect()} == {"UNMATCHED"}
+
+
+def test_any_order_of_many_words_and_short_names():
+    """Names of five words in every order, written as one, and names of two or three letters with a missing letter."""
+    m = canonical.Matcher({"a_big_red_garden_hose": [], "lp_gas_vessel": ["lp cylinder"], "pv_rack": []})
+    words = "a big red garden hose".split()
+    rng = random.Random(1)
+    for _ in range(30):
+        rng.shuffle(words)
+        assert m.match(" ".join(words))[0] == m.match("".join(words))[0] == "a_big_red_garden_hose"
+    assert m.match("l cylinder")[0] == "lp_gas_vessel" and m.match("rack pv")[0] == "pv_rack"
+
+
+def test_blocks_give_what_one_list_gives(spark, sf, monkeypatch):
+    """A list of many blocks against the whole list in one."""
+    taxonomy = spark.read.parquet(f"{sf}/lab_taxonomy.parquet")
+    whole = canonical.reference_list(taxonomy)
+    values = ["garden gate", "Cargo Traaileer", "hammock", "sed.", "wheliebin", "oak canopy next to pine crown", "tree, frui", "refuse_cart", "porch teps", "xyz", None]
+    df = spark.createDataFrame([(v,) for v in values], "value string")
+    one = {r["value"]: tuple(r)[1:3] for r in canonical.match_values(df, whole).collect()}
+    monkeypatch.setattr(canonical, "MAX_NAMES", 25)
+    blocks = canonical.reference_blocks(taxonomy)
+    assert len(blocks) > 4 and {k: v for b in blocks for k, v in b.items()} == whole
+    assert {r["value"]: tuple(r)[1:3] for r in canonical.match_values(df, blocks).collect()} == one and len(one) == 10
+    assert one["refuse_cart"] == ("refuse_cart", "exact") and one["xyz"] == ("UNMATCHED", "none")
