@@ -158,6 +158,31 @@ def lookup(requests: DataFrame, edges: DataFrame, nodes: DataFrame, severity_ord
     )
 
 
+def zone_lookup(asked: DataFrame, rules: DataFrame, edges: DataFrame, violations: DataFrame, floor: float = 0.4, most: int = 150) -> DataFrame:
+    """canonical, zone, n_rules, n_direct, best_rule, best_confidence, best_text, n_violations, severity of each distinct pair asked.
+
+    asked: canonical, zone. rules: rule_id, scope (a zone, or ALL or NULL for each), text. edges: src, dst, confidence, those above the floor; every class is
+    governed by every other rule at the floor, so those are counted by zone and never formed. violations: src, dst, severity_rank, severity.
+    Only rules whose scope is the zone asked or ALL count. best_rule is that of greatest confidence (ties: the least id), which is the least id in
+    scope where no edge is above the floor; best_text are the first `most` characters of its text. A zone without a rule gives 0 and NULL.
+    """
+    asked = asked.select("canonical", "zone").distinct()
+    scoped = expand_scope(rules.select("rule_id", F.col("scope").alias("zone")), "zone")
+    by_zone = scoped.groupBy("zone").agg(F.count("*").alias("n_rules"), F.min("rule_id").alias("__least"))
+    direct = edges.join(scoped, F.col("dst") == F.col("rule_id")).groupBy(F.col("src").alias("canonical"), "zone").agg(
+        F.count("*").alias("n_direct"), F.max("confidence").alias("__top"), F.min_by("dst", F.struct(-F.col("confidence"), "dst")).alias("__best")
+    )
+    worst = violations.groupBy(F.col("src").alias("canonical")).agg(F.count("*").alias("n_violations"), F.max_by("severity", "severity_rank").alias("severity"))
+    out = asked.join(by_zone, "zone", "left").join(direct, ["canonical", "zone"], "left").join(worst, "canonical", "left")
+    out = out.select(
+        "canonical", "zone", F.coalesce("n_rules", F.lit(0)).alias("n_rules"), F.coalesce("n_direct", F.lit(0)).alias("n_direct"), F.coalesce("__best", "__least").alias("best_rule"),
+        F.coalesce("__top", F.when(F.col("__least").isNotNull(), floor)).alias("best_confidence"), F.coalesce("n_violations", F.lit(0)).alias("n_violations"),
+        F.coalesce("severity", F.lit("UNKNOWN")).alias("severity"),
+    )
+    words = rules.select(F.col("rule_id").alias("best_rule"), F.substring("text", 1, most).alias("best_text"))
+    return out.join(words, "best_rule", "left")
+
+
 def combined_context(contexts: DataFrame, classes: Sequence[str], gap: str = "\n\n") -> DataFrame:
     """zone, context: the texts of a few classes joined, in the order given, per zone; missing ones are left out."""
     listed = F.array(*map(F.lit, classes))

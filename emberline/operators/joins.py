@@ -33,21 +33,34 @@ def band_pairs(points: DataFrame, key: str, x: str, y: str, distance: float) ->
 def covering(boxes: DataFrame, tiles: DataFrame, cell: float, by: Sequence[str] = ()) -> DataFrame:
     """by, box_id, cover_id: boxes and tiles (id, x0, y0, x1, y1, and the columns `by`) whose interiors overlap.
 
-    Both sides are copied to the grid cells they touch and meet by equality on cell (and `by`); a pair is kept only in
-    the cell that holds the lower corner of its overlap, so nothing needs to be made distinct afterwards. Empty boxes
-    and NULL coordinates leave.
+    A box is laid on the grid of the level whose cells (`cell` times a power of two) are no smaller than its longer side, so that it touches four
+    of them at most however large it is. Boxes of two levels meet in the coarser one's grid: each side is copied to its own cells and the other to the
+    cells it touches on the levels that occur there. A pair is kept only in the cell that holds the lower corner of its overlap, so
+    nothing needs to be made distinct afterwards. Empty boxes and NULL coordinates leave.
     """
 
-    def celled(df: DataFrame, tag: str) -> DataFrame:
+    def levelled(df: DataFrame) -> DataFrame:
         good = df.filter("x1 > x0 and y1 > y0")
-        span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
-        out = good.withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
-        return out.select(*by, "cx", "cy", *[F.col(c).alias(f"{tag}_{c}") for c in ("id", "x0", "y0", "x1", "y1")])
+        side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / cell
+        return good.withColumn("__level", F.greatest(F.ceil(F.log2(side)), F.lit(0)).cast("int"))
+
+    b, t = levelled(boxes), levelled(tiles)
+    # at most some sixty levels occur, as sizes are doubles
+    levels = sorted(r[0] for r in b.select("__level").unionByName(t.select("__level")).distinct().collect())
+    listed = F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>")
+
+    def celled(df: DataFrame, tag: str) -> DataFrame:
+        at = df.select("*", F.explode(F.filter(listed, lambda x: x >= F.col("__level"))).alias("__grid"))
+        width = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("__grid"))
+        span = lambda a, z: F.explode(F.sequence(F.floor(F.col(a) / F.col("__w")), F.floor(F.col(z) / F.col("__w"))))
+        out = at.withColumn("__w", width).withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
+        return out.select(*by, "__grid", "cx", "cy", *[F.col(c).alias(f"{tag}_{c}") for c in ("id", "x0", "y0", "x1", "y1", "__level", "__w")])
 
-    pairs = celled(boxes, "b").join(celled(tiles, "t"), [*by, "cx", "cy"])
+    pairs = celled(b, "b").join(celled(t, "t").drop("t___w"), [*by, "__grid", "cx", "cy"])
     over = pairs.filter("b_x0 < t_x1 and t_x0 < b_x1 and b_y0 < t_y1 and t_y0 < b_y1")
-    home = (F.floor(F.greatest("b_x0", "t_x0") / cell) == F.col("cx")) & (F.floor(F.greatest("b_y0", "t_y0") / cell) == F.col("cy"))
-    return over.filter(home).select(*by, F.col("b_id").alias("box_id"), F.col("t_id").alias("cover_id"))
+    own = F.greatest("b___level", "t___level") == F.col("__grid")
+    home = (F.floor(F.greatest("b_x0", "t_x0") / F.col("b___w")) == F.col("cx")) & (F.floor(F.greatest("b_y0", "t_y0") / F.col("b___w")) == F.col("cy"))
+    return over.filter(own & home).select(*by, F.col("b_id").alias("box_id"), F.col("t_id").alias("cover_id"))
 
 
 def pending(planned: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -85,8 +98,16 @@ def remapped(rows: DataFrame, ids: DataFrame, keys: Sequence[str], new: str = "n
     return rows.join(ids.select(*keys, new), list(keys))
 
 
-def snapped_cells(points: DataFrame, x: str, y: str, bounds: DataFrame) -> DataFrame:
-    """Points with every cell (cell, cx0, cy0, cx1, cy1; a fixed grid) whose closed box holds them: edges lie in two."""
-    b = F.broadcast(bounds)  # a fixed number of cells
-    inside = F.col(x).between(F.col("cx0"), F.col("cx1")) & F.col(y).between(F.col("cy0"), F.col("cy1"))
-    return points.join(b, inside).drop("cx0", "cy0", "cx1", "cy1")
+def snapped_cells(points: DataFrame, x: str, y: str, size: float, columns: int, rows: int) -> DataFrame:
+    """Points with every cell (column * rows + row) of a grid from 0 whose closed box holds them: those on an edge lie in two, on a corner in four.
+
+    The cells come from the coordinates; points outside the grid and NULL coordinates leave.
+    """
+
+    def at(c: str, many: int) -> Column:
+        v = F.floor(F.col(c) / size)
+        both = F.when(F.col(c) == v * size, F.array(v - 1, v)).otherwise(F.array(v))
+        return F.filter(both, lambda i: (i >= 0) & (i < many))
+
+    held = points.select("*", F.explode(at(x, columns)).alias("__i"))
+    return held.select("*", F.explode(at(y, rows)).alias("__j")).withColumn("cell", (F.col("__i") * rows + F.col("__j")).cast("long")).drop("__i", "__j")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.boxes import stretched
+from emberline.operators.scan import running_total
+from emberline.session import cut
 
 
 def offsets(extent: Column, size: int | Column, stride: int | Column, mode: str) -> Column:
@@ -38,14 +40,35 @@ def tile_grid(images: DataFrame, key: str, height: str, width: str, size: int, s
 
 
 def percentile_bounds(values: DataFrame, by: Sequence[str], value: str, low: float = 0.02, high: float = 0.98, nodata: float | None = None) -> DataFrame:
-    """by, lo, hi: exact percentiles with linear interpolation, ignoring NULL and values beyond `nodata`.
+    """by, lo, hi: exact percentiles with linear interpolation, ignoring NULL and values beyond `nodata`; a band without a value has none.
 
-    Counts per distinct value are combined map-side, so memory follows the distinct values of a band.
+    Values are reduced to distinct ones with their counts and numbered by a distributed running total over (band, value), so no task holds a band; the
+    two values around each percentile are then picked by their places.
     """
     v = F.col(value).cast("double")
-    clean = F.when(v <= nodata, v) if nodata is not None else v
-    both = F.percentile(clean, F.array(F.lit(low), F.lit(high)))
-    return values.groupBy(*by).agg(both.alias("__p")).select(*by, F.get("__p", F.lit(0)).alias("lo"), F.get("__p", F.lit(1)).alias("hi"))
+    good = values.select(*by, v.alias("__v")).filter("__v is not null" + ("" if nodata is None else f" and __v <= {float(nodata)!r}"))
+    counts = good.groupBy(*by, "__v").agg(F.count("*").alias("__n"))
+    ranked = cut(running_total(counts, [*by, "__v"], "__n", "__before"))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    sizes = ranked.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.sum("__n").alias("__all"), F.min("__before").alias("__start"))
+    on = F.lit(True)
+    for c in by:
+        on = on & same(c, f"__{c}")
+    placed = ranked.join(sizes, on).withColumn("__first", F.col("__before") - F.col("__start")).withColumn("__last", F.col("__first") + F.col("__n") - 1)
+
+    def at(q: float) -> Column:
+        """Sum over the band's values of their weight at the percentile: at most two have one."""
+        place = F.lit(q) * (F.col("__all") - 1)
+        lower, part = F.floor(place), place - F.floor(place)
+        holds = lambda i: i.between(F.col("__first"), F.col("__last")).cast("double")
+        return F.sum(F.col("__v") * (holds(lower) * (1 - part) + holds(lower + 1) * part))
+
+    wanted = F.lit(False)
+    for q in (low, high):
+        lower = F.floor(F.lit(q) * (F.col("__all") - 1))
+        wanted = wanted | ((F.col("__first") <= lower + 1) & (F.col("__last") >= lower))
+    found = placed.filter(wanted).groupBy(*by).agg(at(low).alias("lo"), at(high).alias("hi"))
+    return found
 
 
 def stretch(values: DataFrame, by: Sequence[str], value: str, nodata: float | None = None) -> DataFrame:
@@ -53,7 +76,7 @@ def stretch(values: DataFrame, by: Sequence[str], value: str, nodata: float | No
     bounds = percentile_bounds(values, by, value, nodata=nodata)
     v = F.col(value).cast("double")
     clean = F.when(v <= nodata, v) if nodata is not None else v
-    return values.join(bounds, list(by)).withColumn("scaled", stretched(clean, F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    return values.join(cut(bounds), list(by), "left").withColumn("scaled", stretched(clean, F.col("lo"), F.col("hi"))).drop("lo", "hi")
 
 
 def tile_stats(pixels: DataFrame, by: Sequence[str], value: str, nodata: float | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.operators.joins import surrogate_ids
+
 
 def share(part: Column, whole: Column, places: int = 4) -> Column:
     """part / whole rounded half up, 0 where the whole is 0."""
@@ -53,13 +55,13 @@ def ablation(tiles: DataFrame, arm: str, detections: str, marker: Column) -> Dat
     )
 
 
-def level_histogram(rows: DataFrame, value: str, levels: Sequence[float], tolerance: float = 0.05) -> DataFrame:
-    """level, n, pct: rows whose value lies within the tolerance of a level (first hit); others count as NULL."""
+def level_histogram(rows: DataFrame, value: str, levels: Sequence[float], tolerance: float = 0.05, weight: str | None = None) -> DataFrame:
+    """level, n, pct: rows whose value lies within the tolerance of a level (first hit); others count as NULL. weight: a column of counts."""
     out: Column | None = None
     for v in levels:
         hit = F.abs(F.col(value) - v) < tolerance
         out = F.when(hit, float(v)) if out is None else out.when(hit, float(v))
-    n = rows.groupBy(out.alias("level")).agg(F.count("*").alias("n"))
+    n = rows.groupBy(out.alias("level")).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
     # one row per level
     return n.withColumn("pct", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 1))
 
@@ -73,16 +75,23 @@ def checklist(items: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
+def _numbered(rows: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """rows with line_no 1..n in ascending order of the keys (negate a number for descending); repeats may stand either way round."""
+    names = []
+    for i, o in enumerate(order):
+        rows = rows.withColumn(f"__o{i}", F.col(o) if isinstance(o, str) else o)
+        names.append(f"__o{i}")
+    return surrogate_ids(rows, names, "line_no").drop(*names)
+
+
 def text_lines(rows: DataFrame, columns: Sequence[tuple[str, int]], order: Sequence[str | Column]) -> DataFrame:
-    """line_no, line: fixed-width lines; a width below 0 aligns right. For reports, so of a few thousand rows."""
+    """line_no, line: fixed-width lines in ascending order of the columns `order`; a width below 0 aligns right."""
     cell = lambda c, w: F.lpad(F.col(c).cast("string"), -w, " ") if w < 0 else F.rpad(F.col(c).cast("string"), w, " ")
-    number = F.row_number().over(Window.orderBy(*order))
-    return rows.select(number.alias("line_no"), F.concat_ws(" ", *[F.coalesce(cell(c, w), F.lit("")) for c, w in columns]).alias("line"))
+    return _numbered(rows, order).select("line_no", F.concat_ws(" ", *[F.coalesce(cell(c, w), F.lit("")) for c, w in columns]).alias("line"))
 
 
 def markdown(rows: DataFrame, columns: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """line_no, line: a table of Markdown with its header. For reports."""
-    head = rows.sparkSession.createDataFrame([(-1, "| " + " | ".join(columns) + " |"), (0, "|" + "---|" * len(columns))], "line_no int, line string")
-    number = F.row_number().over(Window.orderBy(*order))
+    """line_no, line: a table of Markdown with its header, in ascending order of the columns `order`."""
+    head = rows.sparkSession.createDataFrame([(-1, "| " + " | ".join(columns) + " |"), (0, "|" + "---|" * len(columns))], "line_no long, line string")
     cells = F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    return head.unionByName(rows.select(number.alias("line_no"), F.concat(F.lit("| "), cells, F.lit(" |")).alias("line")))
+    return head.unionByName(_numbered(rows, order).select("line_no", F.concat(F.lit("| "), cells, F.lit(" |")).alias("line")))

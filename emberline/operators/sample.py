@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.operators.scan import running_total
+from emberline.session import cut
 
 
 def lot(key: Column, seed: int) -> Column:
@@ -22,11 +23,16 @@ def k_per_stratum(rows: DataFrame, strata: Sequence[str], key: str, k: int, seed
 
 
 def padded_sample(rows: DataFrame, strata: Sequence[str], key: str, k: int, total: int, seed: int = 42) -> DataFrame:
-    """k rows of each stratum, filled up from the rest to `total` rows, cut to `total` if there are more."""
+    """k rows of each stratum, filled up from the rest to `total` rows, cut to `total` if there are more. key is unique.
+
+    Both parts are top-k: each stratum is cut to k before the shuffle, and of the rest only the `total` least lots can be needed.
+    """
     drawn = rows.withColumn("__lot", lot(F.col(key), seed))
-    w = Window.partitionBy(*strata).orderBy("__lot", key)
-    ranked = drawn.withColumn("__late", (F.row_number().over(w) > k).cast("int"))
-    return ranked.orderBy("__late", "__lot", key).limit(total).drop("__late", "__lot")
+    first = cut(k_per_stratum(rows, strata, key, k, seed).withColumn("__lot", lot(F.col(key), seed)).withColumn("__late", F.lit(0)))
+    # the first `total` of all lots, and as many again as were drawn already, hold the filling
+    many = total + min(first.count(), total)
+    rest = drawn.orderBy("__lot", key).limit(many).join(first.select(key), key, "left_anti").withColumn("__late", F.lit(1))
+    return first.unionByName(rest).orderBy("__late", "__lot", key).limit(total).drop("__late", "__lot")
 
 
 def exact_fraction(rows: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.boxes import corner, iou, is_box
+from emberline.operators.joins import covering
 from emberline.session import cut
 
 
@@ -92,18 +93,12 @@ def suppress(
 def _in_rounds(rows: DataFrame, group: Sequence[str], rank: Sequence[str], threshold: float, cell: float) -> DataFrame:
     keyed = cut(rows.withColumn("__id", F.monotonically_increasing_id()))
     boxes = keyed.filter("__box is not null").select(
-        F.struct(*group).alias("g"), F.struct(*rank, "__id").alias("r"), "__id", F.col("__box").alias("b")
-    )
-    span = lambda a, b: F.explode(F.sequence(F.floor(corner(F.col("b"), a) / cell), F.floor(corner(F.col("b"), b) / cell)))
-    celled = boxes.filter((corner(F.col("b"), 2) > corner(F.col("b"), 0)) & (corner(F.col("b"), 3) > corner(F.col("b"), 1)))
-    celled = celled.withColumn("cx", span(0, 2)).withColumn("cy", span(1, 3))
-    other = celled.select("g", "cx", "cy", F.col("r").alias("r2"), F.col("__id").alias("id2"), F.col("b").alias("b2"))
-    pairs = celled.join(other, ["g", "cx", "cy"]).filter(F.col("r") < F.col("r2"))
-    # the earlier box and the later one that it would suppress; one home cell per pair keeps it single
-    home = (F.floor(F.greatest(corner(F.col("b"), 0), corner(F.col("b2"), 0)) / cell) == F.col("cx")) & (
-        F.floor(F.greatest(corner(F.col("b"), 1), corner(F.col("b2"), 1)) / cell) == F.col("cy")
-    )
-    edges = cut(pairs.filter(home & (iou(F.col("b"), F.col("b2")) > threshold)).select(F.col("__id").alias("a"), F.col("id2").alias("z")))
+        F.struct(*group).alias("g"), F.struct(F.struct(*rank, "__id").alias("r"), "__id", F.col("__box").alias("b")).alias("id"),
+        *[corner(F.col("__box"), i).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))],
+    )
+    # the earlier box and the later one that it would suppress
+    pairs = covering(boxes, boxes, cell, ["g"]).filter(F.col("box_id.r") < F.col("cover_id.r")).filter(iou(F.col("box_id.b"), F.col("cover_id.b")) > threshold)
+    edges = cut(pairs.select(F.col("box_id.__id").alias("a"), F.col("cover_id.__id").alias("z")))
     gone = edges.select(F.col("z").alias("id")).limit(0)
     while True:
         # kept: no open earlier neighbour; what they suppress goes, with all its edges

@@ -397,7 +397,7 @@ from t left join c on t.backend = c.backend""",
 select parcel_id, label_a, label_b, abs(ra - rb)::bigint as span from k order by span desc, parcel_id limit 10""",
     "alias_resolve": _alias_sql(),
     "vote_tiles": f"""with {_DET_SQL},
-k as (select parcel_id, tile_id, row_number() over (partition by parcel_id order by tile_id) - 1 as resp from eff qualify resp < 3),
+k as (select parcel_id, tile_id, row_number() over (partition by parcel_id order by tile_id) - 1 as resp from eff),
 n as (select parcel_id, count(*) as responses from k group by 1),
 one as (
   select d.parcel_id, k.resp, d.object_class, d.compliance_status as s, d.severity as v, d.confidence as c
@@ -421,8 +421,8 @@ select parcel_id, object_class, first_resp, case when flagged then 'UNCERTAIN' e
   case when flagged then 'LOW' when c = 2 then 'HIGH' when c = 1 then 'MEDIUM' else 'LOW' end as confidence, flagged,
   not bool_or(flagged) over (partition by parcel_id) as all_agree from f""",
     "iou_pairs": f"""with {_DET_SQL}, p as (
-  select a.tile_id, a.det_no, a.box, b.box as next_box from det a join det b on a.tile_id = b.tile_id and b.det_no = a.det_no + 1)
-select * from (select tile_id, det_no, round({_IOU}, 6) as iou from p) where iou > 0""",
+  select a.tile_id, a.det_no, b.det_no as other_no, a.box, b.box as next_box from det a join det b on a.tile_id = b.tile_id and b.det_no > a.det_no)
+select * from (select tile_id, det_no, other_no, round({_IOU}, 6) as iou from p) where iou > 0""",
     "box_transforms": f"""with {_DET_SQL} select tile_id, det_no, box[1] + tile_col * 256.0 as image_x0, box[4] + tile_row * 256.0 as image_y1,
   greatest(box[3] - box[1], 0) * greatest(box[4] - box[2], 0) as area, greatest(box[1] - 12, 0) as grown_x0, least(box[3] + 12, 512) as grown_x1,
   round(100 * (box[3] - box[1]) / 512, 4) as w_pct from det

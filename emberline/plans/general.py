@@ -117,7 +117,7 @@ def sorted_report(spark: SparkSession, sf: str) -> DataFrame:
     """Ranked lines of the priority and status counts."""
     n = _t(spark, sf, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
     rank = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
-    lines = report.text_lines(n, (("o_orderpriority", 16), ("o_orderstatus", 2), ("n", -8)), (rank, F.desc("n"), "o_orderpriority"))
+    lines = report.text_lines(n, (("o_orderpriority", 16), ("o_orderstatus", 2), ("n", -8)), (rank, -F.col("n"), "o_orderpriority"))
     return lines.withColumn("line_no", F.col("line_no").cast("long"))
 
 
@@ -133,23 +133,18 @@ def coco_nest(spark: SparkSession, sf: str) -> DataFrame:
     box = boxes.to_xywh(F.array(F.col("l_quantity"), F.lit(0.0), F.col("l_quantity") + 10, F.lit(5.0)))
     ann = li.select("doc", F.col("l_orderkey").alias("image_id"), "l_linenumber", "l_partkey", "l_suppkey", box.alias("bbox"), (F.get(box, F.lit(2)) * F.get(box, F.lit(3))).alias("area"))
     cats = _t(spark, sf, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
-    nested = writers.coco(o, ann, cats)
-    return nested.select(
-        F.col("doc").alias("o_custkey"), F.size("images").cast("long").alias("n_images"),
-        F.coalesce(F.nullif(F.size("annotations"), F.lit(-1)), F.lit(0)).cast("long").alias("n_boxes"),
-        F.coalesce(F.aggregate("annotations", F.lit(0.0), lambda a, x: a + x["area"]), F.lit(0.0)).alias("area"), F.size("categories").cast("long").alias("n_categories"),
+    nested = writers.coco(o, ann, cats, "id", "image_id")
+    return nested.groupBy(F.col("doc").alias("o_custkey")).agg(
+        F.sum(F.size("images")).cast("long").alias("n_images"), F.sum(F.greatest(F.size("annotations"), F.lit(0))).cast("long").alias("n_boxes"),
+        F.coalesce(F.sum(F.aggregate("annotations", F.lit(0.0), lambda acc, x: acc + x["area"])), F.lit(0.0)).alias("area"),
+        F.max(F.size("categories")).cast("long").alias("n_categories"),
     )
 
 
 def grid_cells(spark: SparkSession, sf: str) -> DataFrame:
     """Customers per cell of a 4 x 4 grid with closed edges."""
-    four = F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))
-    cells = spark.range(1).select(F.explode(four).alias("i")).select("i", F.explode(four).alias("j")).select(
-        (F.col("i") * 4 + F.col("j")).alias("cell"), (F.col("i") * 2500.0).alias("cx0"), (F.col("j") * 2500.0).alias("cy0"),
-        ((F.col("i") + 1) * 2500.0).alias("cx1"), ((F.col("j") + 1) * 2500.0).alias("cy1"),
-    )
     p = _t(spark, sf, "customer").select(F.col("c_acctbal").alias("x"), ((F.col("c_custkey") * 500) % 10000).cast("double").alias("y"))
-    return joins.snapped_cells(p, "x", "y", cells).groupBy("cell").agg(F.count("*").alias("n"))
+    return joins.snapped_cells(p, "x", "y", 2500.0, 4, 4).groupBy("cell").agg(F.count("*").alias("n"))
 
 
 _PROTO = """

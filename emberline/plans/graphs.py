@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.functions import text
 from emberline.operators import graph, joins
 from emberline.plans.chips import _CHIP, chips, findings
 from emberline.plans.tables import table
+from emberline.plans.texts import _SCOPE, _SQ, ABOVE, CATEGORIES, GROUND, KINDS, SCOPES, _any
+from emberline.plans.texts import SEVERITY as ZONE_SEVERITY
 
 SEVERITY = {"NONE": 0, "LOW": 1, "MEDIUM": 2, "HIGH": 3, "CRITICAL": 4}
 
@@ -135,6 +138,67 @@ def capped_cross(spark: SparkSession, sf: str) -> DataFrame:
     return joins.capped_cross(left, right, "object_class", "violation", "zone", 2)
 
 
+# Sources of documents that stand for the rule texts: the statute, the standard, and the guide that is taken in later, with their relations.
+RULE_SOURCES = {"statute_digest": "governed_by", "training_sheets": "subject_to", "insurer_memos": "advised_by"}
+
+
+def _rules(spark: SparkSession, sf: str) -> DataFrame:
+    """rule_id, source, relation, scope, kind, aerial, severity, text of every rule document."""
+    d = table(spark, sf, "documents").filter(F.col("source").isin(*RULE_SOURCES))
+    scope = text.first_pattern(F.col("text"), SCOPES, "ALL")
+    return d.select(
+        F.concat_ws("_", "source", "doc_id").alias("rule_id"), "source", text.mapped(F.col("source"), RULE_SOURCES, "").alias("relation"), scope.alias("scope"),
+        text.first_category(F.col("text"), KINDS, "structural").alias("kind"), text.unless_vetoed(F.col("text"), ABOVE, GROUND).alias("aerial"),
+        text.mapped(scope, ZONE_SEVERITY, "LOW").alias("severity"), text.squeeze(F.col("text"), 400).alias("text"), F.col("doc_id"), F.col("text").alias("full_text"),
+    )
+
+
+def _scored(spark: SparkSession, sf: str, rules: DataFrame) -> DataFrame:
+    """Edges of classes to rules above the floor."""
+    objects = table(spark, sf, "lab_taxonomy").select("object_class", "aliases")
+    found = graph.scored_edges(objects, rules.select("rule_id", F.col("full_text").alias("text")), "", CATEGORIES, least=0.6).drop("relation")
+    return found.join(rules.select(F.col("rule_id").alias("dst"), "relation"), "dst").select("src", "dst", "relation", "confidence")
+
+
+def full_graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """All nodes of the graph: classes, zones, violations, and the rules of all sources with their derived attributes."""
+    rest = _nodes(spark, sf).select("id", "type", F.lit(None).cast("string").alias("scope"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("boolean").alias("aerial"), "severity")
+    return rest.unionByName(_rules(spark, sf).select(F.col("rule_id").alias("id"), F.lit("regulation").alias("type"), "scope", "kind", "aerial", "severity"))
+
+
+def full_graph_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """All edges of the graph: where classes lie, what they cause, zones to the rules that cover them, classes to rules above the floor."""
+    rules = _rules(spark, sf)
+    covered = graph.expand_scope(rules.select("rule_id", "scope"), "scope").select(F.col("scope").alias("src"), F.col("rule_id").alias("dst"), F.lit("covered_by").alias("relation"), F.lit(1.0).alias("confidence"))
+    return _edges(spark, sf).unionByName(covered).unionByName(_scored(spark, sf, rules))
+
+
+def graph_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """A further source taken into the graph of the others: its rules are new nodes, its edges written over those that are there, dangling ones left out.
+
+    The later source also repeats the classes with a confidence raised by a tenth for every rule of the statute that it names by number; result per relation and confidence.
+    """
+    rules = _rules(spark, sf)
+    first, later = rules.filter("source <> 'insurer_memos'"), rules.filter("source = 'insurer_memos' or doc_id % 3 = 0")
+    node = lambda df: df.select(F.col("rule_id").alias("id"), "scope")
+    nodes = graph.insert_absent(node(first), node(later), ["id"])
+    base = _scored(spark, sf, first).withColumn("seq", F.lit("0"))
+    more = _scored(spark, sf, later).withColumn("confidence", F.least(F.col("confidence") + 0.1, F.lit(1.0))).withColumn("seq", F.lit("1"))
+    merged = graph.upsert(base, more, ["src", "dst"], "seq").drop("seq")
+    ids = nodes.select("id").unionByName(table(spark, sf, "lab_taxonomy").select(F.col("object_class").alias("id")))
+    return graph.both_ends_exist(merged, ids).groupBy("relation", F.round("confidence", 2).alias("confidence")).agg(F.count("*").alias("n"))
+
+
+def graph_zone_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules and violations of each class found in a zone; a rule counts if its scope is that zone or ALL."""
+    asked = findings(spark, sf).select(F.col("object_class").alias("canonical"), "zone").filter("canonical is not null and zone is not null")
+    rules = _rules(spark, sf)
+    causes = graph.neighbours(_edges(spark, sf).filter("relation = 'can_cause'"), _nodes(spark, sf)).withColumnRenamed("dst_severity", "severity")
+    rank = F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])
+    causes = causes.select("src", "dst", "severity", F.coalesce(F.try_element_at(rank, F.col("severity")), F.lit(1)).alias("severity_rank"))
+    return graph.zone_lookup(asked, rules, _scored(spark, sf, rules), causes)
+
+
 def _points(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select(
         F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"), ((F.col("c_custkey") * 7919) % 9973).cast("double").alias("y")
@@ -185,7 +249,34 @@ _COMP = f"""with recursive {_PAIRS}, both_ as (select id_a as s, id_b as d from
 reach as (select id, id as r from pts union select both_.d, reach.r from reach join both_ on reach.id = both_.s),
 comp as (select id, min(r) as component from reach group by 1)"""
 
+_RULES = f"""
+rule as (
+  select source || '_' || doc_id as rule_id, source, doc_id, text as full_text, case source when 'statute_digest' then 'governed_by' when 'training_sheets' then 'subject_to' else 'advised_by' end as relation,
+    {_SCOPE} as scope, case {" ".join(f"when {_any(w)} then '{k}'" for k, w in KINDS)} else 'structural' end as kind, {_any(ABOVE)} and not {_any(GROUND)} as aerial, {_SQ} as words
+  from documents where source in ('statute_digest', 'training_sheets', 'insurer_memos')),
+sev as (select *, case scope when 'Zone_0' then 'CRITICAL' when 'Zone_1' then 'HIGH' when 'Zone_2' then 'MEDIUM' else 'LOW' end as severity from rule),
+scoped as (select *, unnest(case when scope = 'ALL' then ['Zone_0', 'Zone_1', 'Zone_2'] else [scope] end) as z from sev),
+score as (
+  select object_class as src, rule_id as dst, relation, source, doc_id, case when contains(lower(full_text), replace(lower(object_class), '_', ' ')) then 1.0
+    when len(list_filter(aliases, lambda a: contains(lower(rule.full_text), lower(a)))) > 0 then 0.8
+    when {_any(CATEGORIES, "lower(full_text)")} then 0.6 else 0.4 end::double as confidence from rule cross join lab_taxonomy),
+above as (select * from score where confidence >= 0.6)
+"""
+
 SQL = {
+    "full_graph_nodes": f"""with {_GRAPH}, {_RULES} select id, type, null::varchar as scope, null::varchar as kind, null::boolean as aerial, severity from node
+union all select rule_id, 'regulation', scope, kind, aerial, severity from sev""",
+    "full_graph_edges": f"""with {_GRAPH}, {_RULES} select src, dst, relation, confidence from edge union all select z, rule_id, 'covered_by', 1.0::double from scoped
+union all select src, dst, relation, confidence from above""",
+    "graph_ingest": f"""with {_RULES}, m as (
+  select src, dst, relation, case when source = 'insurer_memos' or doc_id % 3 = 0 then least(confidence + 0.1, 1.0) else confidence end as c from above)
+select relation, round(c, 2) as confidence, count(*) as n from m group by 1, 2""",
+    "graph_zone_lookup": f"""with {_GRAPH}, {_RULES}, asked as (select distinct object_class as canonical, zone from finding where object_class is not null and zone is not null),
+per as (select a.canonical, a.zone, s.rule_id, s.words, coalesce(e.confidence, 0.4) as c from asked a left join scoped s on a.zone = s.z left join above e on e.src = a.canonical and e.dst = s.rule_id),
+agg as (select canonical, zone, count(rule_id) as n_rules, count(*) filter (c >= 0.6) as n_direct, arg_min(rule_id, (-c, rule_id)) as best_rule,
+  case when count(rule_id) > 0 then max(c) end as best_confidence, arg_min(substr(words, 1, 150), (-c, rule_id)) as best_text from per group by 1, 2),
+v as (select src, count(*) as n, arg_max(severity, coalesce(r, 1)) as severity from edge join node on dst = id left join rk on severity = s where relation = 'can_cause' group by 1)
+select canonical, zone, n_rules, n_direct, best_rule, best_confidence, best_text, coalesce(v.n, 0) as n_violations, coalesce(v.severity, 'UNKNOWN') as severity from agg left join v on canonical = src""",
     "graph_edges": f"with {_GRAPH} select * from edge where src in (select id from node) and dst in (select id from node)",
     "graph_degree": f"with {_GRAPH} select id, count(*) as degree from (select src as id from edge union all select dst from edge) group by 1",
     "graph_top_degree": f"with {_GRAPH} select id, count(*) as degree from (select src as id from edge union all select dst from edge) group by 1 order by 2 desc, 1 limit 10",
@@ -227,6 +318,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         graph_edges, graph_degree, graph_top_degree, graph_in_edges, graph_gaps, graph_neighbours, graph_induced, graph_two_hops,
-        graph_best_edge, graph_lookup, graph_context, graph_upsert, graph_insert_absent, capped_cross, band_pairs, components, cluster_extent,
+        graph_best_edge, graph_lookup, graph_context, graph_upsert, graph_insert_absent, full_graph_nodes, full_graph_edges,
+        graph_ingest, graph_zone_lookup, capped_cross, band_pairs, components, cluster_extent,
     )
 }

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.plans import chips, detections, general, graphs, nested_records, texts
+from emberline.plans import chips, detections, exchange, general, graphs, nested_records, texts
 
-MODULES = (detections, chips, graphs, texts, general, nested_records)
+MODULES = (detections, chips, graphs, texts, general, exchange, nested_records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

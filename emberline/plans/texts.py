@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.functions import text
+from emberline.functions import prompts, text
 from emberline.operators import graph, joins, report
 from emberline.plans.tables import table
+from emberline.sources import readers
 
 # Patterns of the distance zones, first match wins.
 SCOPES = (
@@ -22,16 +23,37 @@ KINDS = (
     ("clearance", ("within", "feet", "distance", "clearance")),
 )
 # What can only be seen on the ground, and what can be seen from above.
-GROUND = ("vent", "mesh", "gap", "material", "rating", "class a", "soffit", "ember")
-ABOVE = ("within", "feet", "zone", "propane", "firewood", "trash", "vehicle", "shed", "deck", "furniture", "mulch")
+GROUND = ("vent", "mesh", "gap", "material", "rating", "class a", "fire-resistance", "flashing", "wall cover", "door gap", "soffit", "eave lining", "ember")
+ABOVE = (
+    "within", "feet", "zone", "propane", "firewood", "trash", "vehicle", "shed", "deck", "furniture", "mulch", "car", "boat", "rv", "ladder", "pool",
+    "hot tub", "play set",
+)
 CATEGORIES = ("combustible material", "combustible items", "combustible object", "vegetation", "fuel", "flammable")
 # Severity of a zone.
 SEVERITY = {"Zone_0": "CRITICAL", "Zone_1": "HIGH", "Zone_2": "MEDIUM"}
+# Words by which a rule mentions an object.
 WORDS = {
-    "propane_tank": ("propane", "lpg"), "firewood": ("firewood", "cordwood", "woodpile"), "fence": ("fence", "fencing"),
-    "deck": ("deck", "patio"), "car": ("car", "vehicle", "camper"), "shed": ("shed", "outbuilding"),
-    "vegetation": ("vegetation", "shrub", "tree", "grass", "juniper"), "debris": ("debris", "leaves", "needles"),
-}
+    "propane_tank": ("propane tank",),
+    "firewood": ("firewood", "woodpile", "wood pile", "wood stack"),
+    "trash_bin": ("trash", "garbage bin", "recycle bin", "trash bin", "garbage can"),
+    "mulch": ("mulch", "bark", "wood chip", "wood-chip"),
+    "fence": ("fence", "fencing", "wood fence"),
+    "deck": ("deck", "patio", "walking surface"),
+    "patio_furniture": ("patio furniture", "furniture", "chair cushion", "chair"),
+    "car": ("car", "vehicle", "parked", "automobile"),
+    "rv": ("rv", "recreational vehicle"),
+    "shed": ("shed", "accessory structure", "outbuilding", "adu"),
+    "hot_tub": ("hot tub", "spa", "above ground pool"),
+    "boat": ("boat", "watercraft"),
+    "ladder": ("ladder",),
+    "bbq_grill": ("bbq", "grill", "barbecue"),
+    "potted_plant": ("potted plant", "planter", "pot"),
+    "welcome_mat": ("door mat", "welcome mat", "mat"),
+    "play_set": ("play set", "playset", "kids toy", "toy"),
+    "pergola": ("pergola", "gazebo", "carport", "overhead structure"),
+    "vegetation": ("vegetation", "shrub", "tree", "grass", "weed", "plant"),
+    "debris": ("debris", "leaves", "needles", "dead material", "dead vegetation"),
+}
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,18 +80,41 @@ def squeezed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _graded(spark: SparkSession, sf: str) -> DataFrame:
+    """object_class, confidence, n: how many documents match the class at which confidence.
+
+    Only pairs above the floor are formed; the floor's count is what is left of all documents.
+    """
     objects = table(spark, sf, "lab_taxonomy").select("object_class", "aliases")
     rules = _docs(spark, sf).select(F.col("doc_id").alias("rule_id"), "text")
-    return graph.scored_edges(objects, rules, "governed_by", CATEGORIES)
+    above = graph.scored_edges(objects, rules, "governed_by", CATEGORIES, least=0.6).groupBy(F.col("src").alias("object_class"), "confidence").agg(F.count("*").alias("n"))
+    total = F.lit(rules.count())
+    met = above.groupBy("object_class").agg(F.sum("n").alias("met"))
+    floor = objects.select("object_class").join(met, "object_class", "left").select("object_class", F.lit(0.4).alias("confidence"), (total - F.coalesce("met", F.lit(0))).alias("n"))
+    return above.unionByName(floor.filter("n > 0"))
 
 
 def graded_match(spark: SparkSession, sf: str) -> DataFrame:
     """Per class how many documents match it at which confidence."""
-    return _graded(spark, sf).groupBy(F.col("src").alias("object_class"), "confidence").agg(F.count("*").alias("n"))
+    return _graded(spark, sf)
 
 
 def confidence_hist(spark: SparkSession, sf: str) -> DataFrame:
-    return report.level_histogram(_graded(spark, sf), "confidence", (1.0, 0.8, 0.6, 0.4))
+    return report.level_histogram(_graded(spark, sf), "confidence", (1.0, 0.8, 0.6, 0.4), weight="n")
+
+
+def bullet_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of documents that begin with a bullet or a capital at the start of a line."""
+    c = _docs(spark, sf).select("doc_id", F.explode(text.bullet_chunks(F.col("text"))).alias("c"))
+    return c.select("doc_id", F.length("c.text").cast("long").alias("n"), F.md5("c.text").alias("digest"))
+
+
+def statute_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Sections of statutes by the three passes over their markers; a statute is what a source digests, its articles lettered and numbered anew."""
+    lines = F.filter(F.transform(F.split("text", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+    lettered = F.transform(lines, lambda x, i: F.concat(F.lit("("), F.element_at(F.split(F.lit("a b c d e f g h i j"), " "), (i % 10 + 1).cast("int")), F.lit(") "), x))
+    statute = F.concat(F.lit("Digest.\n"), F.array_join(lettered, "\n"))
+    s = _docs(spark, sf).filter("source = 'statute_digest'").select("doc_id", F.explode(text.marked_sections(statute, "S_")).alias("s"))
+    return s.select("doc_id", "s.section_id", F.length("s.text").cast("long").alias("n"))
 
 
 def split_sections(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,7 +142,14 @@ def answers_parsed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def html_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Text of pages made from the documents, with a script that holds a tag in a string."""
+    """Main text of pages made from the documents: navigation and a script that holds a tag in a string stand around it."""
+    safe = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    page = F.concat(F.lit("<html><script>var a='</p>';</script><body><nav>Home</nav><main><p>"), safe, F.lit("</p></main></body></html>"))
+    return _docs(spark, sf).select("doc_id", F.md5(text.squeeze(readers.html_text(page))).alias("digest"))
+
+
+def html_plain(spark: SparkSession, sf: str) -> DataFrame:
+    """Visible text by patterns, of the same documents as paragraphs."""
     page = F.concat(F.lit("<html><script>var a='</p>';</script><body><p>"), F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("</p></body></html>"))
     return _docs(spark, sf).select("doc_id", F.md5(text.plain_html(page)).alias("digest"))
 
@@ -119,11 +171,13 @@ def marker_arms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prompt_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Prompts per parcel from its meta data; sections that are missing are left out."""
+    """Prompts per parcel from its meta data: those of a known site are grounded, with rules and examples; parts that are missing are left out."""
     m = table(spark, sf, "parcel_meta").groupBy("parcel_id").agg(F.max(F.lower("site")).alias("site"), F.max("n_tiles").alias("n_tiles"))
-    grounded = F.when(F.col("site").isNotNull(), F.concat(F.lit("Rules of "), F.col("site"), F.lit(" apply.")))
-    examples = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(2)), lambda i: F.format_string("Example %d", i)), " | ")
-    return m.select("parcel_id", F.concat_ws("\n", F.concat(F.lit("Parcel "), F.col("parcel_id")), grounded, F.concat(F.lit("Tiles: "), F.col("n_tiles").cast("string")), examples).alias("prompt"))
+    rules = F.concat(F.lit("Rules of "), F.col("site"), F.lit(" apply."))
+    shots = F.array(F.concat(F.lit("Tile 1 of "), F.col("parcel_id")), F.lit("No objects."))
+    question = F.concat(F.lit("Tiles: "), F.col("n_tiles").cast("string"))
+    prompt = prompts.tile_prompt(F.concat(F.lit("Parcel "), F.col("parcel_id")), rules, shots, question, F.col("site").isNotNull())
+    return m.select("parcel_id", prompt.alias("prompt"))
 
 
 def display_names(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,7 +211,7 @@ SQL = {
     "graded_match": f"with {_GRADE} select object_class, confidence, count(*) as n from g group by 1, 2",
     "confidence_hist": f"with {_GRADE} select confidence as level, count(*) as n, round(100 * count(*) / sum(count(*)) over (), 1) as pct from g group by 1",
     "split_sections": f"""with p as (select doc_id, unnest(string_split_regex(text, '\\r?\\n')) as text, generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) as no from documents),
-s as (select doc_id, no, {_SQ} as t from p), f as (select * from s where length(t) >= 10 qualify row_number() over (partition by doc_id, substr(t, 1, 20) order by no) = 1)
+s as (select doc_id, no, {_SQ} as t from p), f as (select * from s where length(t) >= 10 qualify row_number() over (partition by doc_id, t order by no) = 1)
 select doc_id, no, 'SEC_' || lpad((row_number() over (partition by doc_id order by no))::varchar, 3, '0') as section_id, length(t) as n from f""",
     "json_fields": "select event_id, json_extract_string(props, '$.k')::bigint as k from events",
     "html_text": f"select doc_id, md5(trim({_SQ})) as digest from documents",
@@ -166,7 +220,12 @@ select doc_id, no, 'SEC_' || lpad((row_number() over (partition by doc_id order
     "count(*) filter (contains(text, 'PRC') or contains(text, 'IBHS') or contains(text, '§') or contains(text, 'Schedule')) as n_cited, "
     "round(count(*) filter (contains(text, 'PRC') or contains(text, 'IBHS') or contains(text, '§') or contains(text, 'Schedule'))::double / count(*), 4) as rate from documents group by 1",
     "prompt_text": """with m as (select parcel_id, max(lower(site)) as site, max(n_tiles) as n_tiles from parcel_meta group by 1)
-select parcel_id, concat_ws(chr(10), 'Parcel ' || parcel_id, 'Rules of ' || site || ' apply.', 'Tiles: ' || n_tiles, 'Example 1 | Example 2') as prompt from m""",
+select parcel_id, concat_ws(chr(10) || chr(10), 'Parcel ' || parcel_id, 'Rules of ' || site || ' apply.',
+  case when site is not null then 'Example 1:' || chr(10) || 'Tile 1 of ' || parcel_id || chr(10) || chr(10) || 'Example 2:' || chr(10) || 'No objects.' end, 'Tiles: ' || n_tiles) as prompt from m""",
+    "html_plain": f"select doc_id, md5(trim({_SQ})) as digest from documents",
+    "bullet_parts": f"""with c as (select doc_id, unnest(string_split(regexp_replace(text, '\n(\s*[•●o]\s|\s{{0,2}}[A-Z][a-z])', chr(1) || '\1', 'g'), chr(1))) as text from documents),
+t as (select doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') as text from c)
+select doc_id, length({_SQ}) as n, md5({_SQ}) as digest from t where length(text) >= 30""",
     "display_names": """select array_to_string(list_transform(string_split(object_class, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ') as shown,
   object_class, array_to_string(aliases[1:2], '; ') as first_aliases, case when aerial_visible then 'YES' else 'no' end as aerial from lab_taxonomy""",
 }
@@ -174,7 +233,8 @@ select parcel_id, concat_ws(chr(10), 'Parcel ' || parcel_id, 'Rules of ' || site
 QUERIES = {
     f.__name__: f
     for f in (
-        rule_scope, rule_kind, mentions, squeezed, graded_match, confidence_hist, split_sections, json_fields, answers_parsed, html_text,
+        rule_scope, rule_kind, mentions, squeezed, graded_match, confidence_hist, split_sections, bullet_parts, statute_sections, json_fields,
+        answers_parsed, html_text, html_plain,
         corpus_coverage, marker_arms, prompt_text, display_names,
     )
 }

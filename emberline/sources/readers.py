@@ -98,26 +98,30 @@ def catalog_search(items: DataFrame, x0: float, y0: float, x1: float, y1: float,
 
 
 class _Visible(HTMLParser):
-    def __init__(self, wanted: str | None):
+    """Visible text of a page, and of each wanted tag in it, in one pass."""
+
+    def __init__(self, wanted: tuple[str, ...]):
         super().__init__()
-        self.parts: list[str] = []
-        self.wanted, self.inside, self.hidden = wanted, 0, 0
+        self.parts: dict[str | None, list[str]] = {w: [] for w in (*wanted, None)}
+        self.inside, self.hidden = dict.fromkeys(wanted, 0), 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ("script", "style"):
             self.hidden += 1
-        elif tag == self.wanted:
-            self.inside += 1
+        elif tag in self.inside:
+            self.inside[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("script", "style"):
             self.hidden = max(0, self.hidden - 1)
-        elif tag == self.wanted:
-            self.inside = max(0, self.inside - 1)
+        elif tag in self.inside:
+            self.inside[tag] = max(0, self.inside[tag] - 1)
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden and (self.wanted is None or self.inside) and data.strip():
-            self.parts.append(data.strip())
+        if not self.hidden and data.strip():
+            for w, parts in self.parts.items():
+                if w is None or self.inside[w]:
+                    parts.append(data.strip())
 
 
 def html_text(html: Column, selectors: tuple[str, ...] = ("main", "article", "body")) -> Column:
@@ -128,12 +132,10 @@ def html_text(html: Column, selectors: tuple[str, ...] = ("main", "article", "bo
         def one(page: str | None) -> str | None:
             if page is None:
                 return None
-            for wanted in (*selectors, None):
-                parser = _Visible(wanted)
-                parser.feed(page)
-                if parser.parts:
-                    return "\n".join(parser.parts)
-            return ""
+            parser = _Visible(selectors)
+            parser.feed(page)
+            parser.close()
+            return next(("\n".join(p) for p in parser.parts.values() if p), "")
 
         return column.map(one)
 

@@ -154,9 +154,8 @@ def test_small_joins(spark):
     assert rows_of(joins.capped_cross(left, right, "k", "v", "z", 2)) == [("a", "v1", "z1"), ("a", "v2", "z1"), ("b", "v1", "—"), ("c", "—", "z9")]
     assert rows_of(joins.pending(left, right, ["k"])) == [("b", "v1")]
     assert rows_of(joins.with_default(left.select("k").distinct(), right, ["k"], {"z": "-"})) == [("a", "z1"), ("b", "-")]
-    cells = spark.createDataFrame([(0, 0.0, 0.0, 1.0, 1.0), (1, 1.0, 0.0, 2.0, 1.0)], "cell int, cx0 double, cy0 double, cx1 double, cy1 double")
     points = spark.createDataFrame([(1.0, 0.5), (5.0, 5.0), (None, 0.0)], "x double, y double")
-    assert joins.snapped_cells(points, "x", "y", cells).count() == 2
+    assert joins.snapped_cells(points, "x", "y", 1.0, 2, 1).count() == 2
 
 
 def test_graph_writes(spark):

@@ -19,10 +19,30 @@ def test_graphml(spark, tmp_path):
     nodes, edges = readers.graphml(spark, str(tmp_path / "g.graphml"))
     assert {r["id"]: r["attributes"] for r in nodes.collect()} == {"a": {"node_type": "object"}, "b": {}}
     assert [tuple(r) for r in edges.collect()] == [("a", "b", {"rel": "governed_by"})]
-    flat = spark.createDataFrame([("a", True)], "id string, aerial boolean")
-    writers.graph_xml(flat, edges.select("src", "dst"), str(tmp_path / "out"))
-    back = spark.read.format("xml").option("rowTag", "node").schema("id string, aerial string").load(str(tmp_path / "out/nodes"))
-    assert [tuple(r) for r in back.collect()] == [("a", "true")]
+    rows = spark.createDataFrame([("a", True, ["x", "y"], 'say "<&>"'), ("b", None, None, None)], "id string, aerial boolean, aliases array<string>, notes string")
+    writers.graphml(rows, edges.select("src", "dst", F.lit("governed_by").alias("rel")), str(tmp_path / "out"))
+    nodes, edges = readers.graphml(spark, str(tmp_path / "out"))
+    assert {r["id"]: r["attributes"] for r in nodes.collect()} == {"a": {"aerial": "true", "aliases": '["x","y"]', "notes": 'say "<&>"'}, "b": {}}
+    assert [tuple(r) for r in edges.collect()] == [("a", "b", {"rel": "governed_by"})]
+
+
+def test_graphml_of_many_attribute_names(spark, tmp_path):
+    """More keys than any list of them would be cut to."""
+    names = [f"n{i}" for i in range(1200)]
+    keys = "".join(f'<key id="d{i}" for="node" attr.name="{n}" attr.type="string"/>\n' for i, n in enumerate(names))
+    (tmp_path / "g.graphml").write_text(f'<graphml>{keys}<graph><node id="a">' + "".join(f'<data key="d{i}">{i}</data>' for i in range(1200)) + "</node></graph></graphml>")
+    nodes, _ = readers.graphml(spark, str(tmp_path / "g.graphml"))
+    assert nodes.first()["attributes"] == {n: str(i) for i, n in enumerate(names)}
+
+
+def test_coco_pages(spark):
+    """A parcel of more images than a page holds becomes several, with every image and box once."""
+    images = spark.createDataFrame([("d", i) for i in range(23)] + [("e", 1)], "doc string, id int")
+    boxes = spark.createDataFrame([("d", i % 23, i) for i in range(60)], "doc string, image_id int, category_id int")
+    out = writers.coco(images, boxes, spark.createDataFrame([(1, "car")], "id int, name string"), "id", "image_id", page=10).collect()
+    assert sorted((r["doc"], r["page_no"], len(r["images"])) for r in out) == [("d", 0, 10), ("d", 1, 10), ("d", 2, 3), ("e", 0, 1)]
+    assert sum(len(r["annotations"] or []) for r in out) == 60
+    assert all({a["image_id"] for a in r["annotations"] or []} <= {i["id"] for i in r["images"]} for r in out)
 
 
 def test_tile_files_skip_what_cannot_be_read(spark, tmp_path):
@@ -76,7 +96,7 @@ def test_catalog_search(spark):
 def test_coco(spark):
     images = spark.createDataFrame([("d", 1), ("e", 2)], "doc string, id int")
     boxes = spark.createDataFrame([("d", 1, 7)], "doc string, image_id int, category_id int")
-    out = {r["doc"]: r for r in writers.coco(images, boxes, spark.createDataFrame([(1, "car")], "id int, name string")).collect()}
+    out = {r["doc"]: r for r in writers.coco(images, boxes, spark.createDataFrame([(1, "car")], "id int, name string"), "id", "image_id").collect()}
     assert len(out["d"]["annotations"]) == 1 and out["e"]["annotations"] is None and out["d"]["categories"][0]["name"] == "car"
     numbered = spark.range(1, 1002).select(F.col("id").alias("n"))
     assert sorted(r[0] for r in writers.label_tasks(numbered, "n").groupBy("batch_no").count().select("count").collect()) == [1, 500, 500]
