@@ -239,6 +239,12 @@ def nms(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("parcel_id", "label", "tile_id", "det_no")
 
 
+def nms_in_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by rounds over a grid join, as groups of any size are decided."""
+    kept = suppress.suppress(_placed(spark, sf), ["parcel_id", "label"], "box", ["rank", "tile_id", "det_no"], most=0)
+    return kept.select("parcel_id", "label", "tile_id", "det_no")
+
+
 def greedy_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Suppression within the parcel whatever the class."""
     kept = suppress.suppress(_placed(spark, sf), ["parcel_id"], "box", ["rank", "tile_id", "det_no"])
@@ -343,7 +349,44 @@ _IOU = """
 """
 _CITED = " or ".join(f"contains(x.cot_trace, '{c}')" for c in CITATIONS)
 
+def overlap_sql(q: str, x: str) -> str:
+    """Intersection over union of two boxes given as lists; NULL for two empty ones."""
+    side = lambda b, i: f"greatest({b}[{i + 2}] - {b}[{i}], 0)"
+    cut = lambda i: f"greatest(least({q}[{i + 2}], {x}[{i + 2}]) - greatest({q}[{i}], {x}[{i}]), 0)"
+    inter = f"({cut(1)} * {cut(2)})"
+    return f"({inter} / nullif({side(q, 1)} * {side(q, 2)} + {side(x, 1)} * {side(x, 2)} - {inter}, 0))"
+
+
+def greedy_sql(placed: str, group: str, order: str, columns: str, threshold: float = 0.5) -> str:
+    """Common table expressions that end in `kept`: the rows of `placed` (with `box`) that greedy suppression keeps, box by box."""
+    return f"""ranked as (select *, len(list_filter(box[1:4], lambda v: v is not null)) = 4 as good, dense_rank() over (order by {group}) as g from {placed}),
+numbered as (select *, row_number() over (partition by g order by {order}) as k from ranked where good),
+step as (
+  select distinct g, 0::bigint as k, []::struct(b double[], k bigint)[] as held from numbered
+  union all
+  select s.g, s.k + 1, case when len(list_filter(s.held, lambda q: coalesce({overlap_sql("q.b", "r.box")}, 0) > {threshold})) > 0 then s.held
+    else list_append(s.held, {{'b': r.box, 'k': r.k}}) end
+  from step s join numbered r on r.g = s.g and r.k = s.k + 1),
+best as (select g, arg_max(held, k) as held from step group by 1),
+chosen as (select g, unnest(held).k as k from best),
+kept as (select {columns} from numbered join chosen using (g, k) union all select {columns} from ranked where not coalesce(good, false))
+"""
+
+
+_PLACED = f"""{_DET_SQL},
+placed as (
+  select parcel_id, tile_id, det_no, replace(trim(lower(object_class)), ' ', '_') as label,
+    [box[1] + tile_col * 256.0, box[2] + tile_row * 256.0, box[3] + tile_col * 256.0, box[4] + tile_row * 256.0]::double[] as box,
+    case confidence when 'MEDIUM' then -1 when 'HIGH' then -2 else 0 end as rank
+  from det where tile_row is not null and tile_col is not null)"""
+
 SQL = {
+    "nms": f"""with recursive {_PLACED}, {greedy_sql("placed", "parcel_id, label", "rank, tile_id, det_no", "parcel_id, label, tile_id, det_no")}
+select * from kept""",
+    "nms_in_rounds": f"""with recursive {_PLACED}, {greedy_sql("placed", "parcel_id, label", "rank, tile_id, det_no", "parcel_id, label, tile_id, det_no")}
+select * from kept""",
+    "greedy_dedup": f"""with recursive {_PLACED}, {greedy_sql("placed", "parcel_id", "rank, tile_id, det_no", "parcel_id, tile_id")}
+select parcel_id, count(*) as n_kept, sum(tile_id)::bigint as tile_sum from kept group by 1""",
     "effective_detections": f"with {_DET_SQL} select tile_id, det_no, object_class, zone, compliance_status, severity, confidence, "
     "coalesce(len(list_filter(box[1:4], lambda v: v is not null)) = 4, false) as has_box from det",
     "risk_score_a": f"with {_DET_SQL}, {_SCORED}, {_SCORE_A} select * from score_a",
@@ -437,7 +480,7 @@ QUERIES = {
     for f in (
         effective_detections, risk_score_a, top_risk, risk_score_b, violation_breakdown, worst_severity, class_zone_counts,
         severity_crosstab, composite_counts, model_conditions, throughput, zone_profile, site_profile, ablation,
-        limitation_categories, agreement, top_disagreements, alias_resolve, vote_tiles, nms, greedy_dedup, iou_pairs,
+        limitation_categories, agreement, top_disagreements, alias_resolve, vote_tiles, nms, nms_in_rounds, greedy_dedup, iou_pairs,
         box_transforms, box_cover,
     )
 }

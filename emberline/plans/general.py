@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions import boxes, score, vectors
 from emberline.operators import joins, raster, report, sample, suppress
+from emberline.plans.detections import greedy_sql
 from emberline.plans.tables import table
 from emberline.sources import writers
 
@@ -165,6 +166,10 @@ SQL = {
     "order_worst": "select o_custkey, min(o_orderpriority) as worst_priority, count(*) as n from orders group by 1",
     "order_crosstab": """select o_orderpriority, count(*) filter (o_orderstatus = 'O') as "O", count(*) filter (o_orderstatus = 'F') as "F",
   count(*) filter (o_orderstatus = 'P') as "P", count(*) as total from orders group by 1""",
+    "order_nms": f"""with recursive placed as (
+  select l_orderkey, l_linestatus, [l_quantity * 4, l_tax * 400, l_quantity * 4 + 60, l_tax * 400 + 40]::double[] as box, -l_extendedprice as rank, l_partkey, l_suppkey, l_linenumber, l_shipdate from lineitem),
+{greedy_sql("placed", "l_orderkey, l_linestatus", "rank, l_partkey, l_suppkey, l_linenumber, l_shipdate", "l_orderkey")}
+select l_orderkey, count(*) as n_kept from kept group by 1""",
     "stretch_events": """with b as (select event_type, quantile_cont(value, 0.02) as lo, quantile_cont(value, 0.98) as hi from events group by 1),
 s as (select e.event_type, trunc(greatest(0, least(255, (value - lo) / (hi - lo) * 255))) as sc from events e join b on e.event_type = b.event_type)
 select event_type, floor(sc / 26)::bigint as bin, count(*) as n, sum(sc)::bigint as total from s group by 1, 2""",

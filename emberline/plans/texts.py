@@ -222,8 +222,14 @@ select doc_id, no, 'SEC_' || lpad((row_number() over (partition by doc_id order
     "prompt_text": """with m as (select parcel_id, max(lower(site)) as site, max(n_tiles) as n_tiles from parcel_meta group by 1)
 select parcel_id, concat_ws(chr(10) || chr(10), 'Parcel ' || parcel_id, 'Rules of ' || site || ' apply.',
   case when site is not null then 'Example 1:' || chr(10) || 'Tile 1 of ' || parcel_id || chr(10) || chr(10) || 'Example 2:' || chr(10) || 'No objects.' end, 'Tiles: ' || n_tiles) as prompt from m""",
+    "answers_parsed": r"""with t as (select distinct tile_id, result.raw_output as raw from tile_results where result.raw_output is not null),
+b as (select tile_id, case when regexp_extract(raw, '(?s)```(?:json)?\s*(.*?)```', 1) <> '' then regexp_extract(raw, '(?s)```(?:json)?\s*(.*?)```', 1) else trim(raw) end as body from t),
+c as (select tile_id, case when contains(body, '{') then substr(body, strpos(body, '{')) end as cand from b),
+e as (select tile_id, cand, case when contains(cand, '}') then left(cand, length(cand) - strpos(reverse(cand), '}') + 1) end as upto from c),
+j as (select tile_id, case when json_valid(cand) then cand when json_valid(upto) then upto end as js from e)
+select tile_id, js is null as parse_failed, case when js is not null then coalesce(json_array_length(js, '$.detections'), 0)::bigint end as n_detections from j""",
     "html_plain": f"select doc_id, md5(trim({_SQ})) as digest from documents",
-    "bullet_parts": f"""with c as (select doc_id, unnest(string_split(regexp_replace(text, '\n(\s*[•●o]\s|\s{{0,2}}[A-Z][a-z])', chr(1) || '\1', 'g'), chr(1))) as text from documents),
+    "bullet_parts": rf"""with c as (select doc_id, unnest(string_split(regexp_replace(text, '\n(\s*[•●o]\s|\s{{0,2}}[A-Z][a-z])', chr(1) || '\1', 'g'), chr(1))) as text from documents),
 t as (select doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') as text from c)
 select doc_id, length({_SQ}) as n, md5({_SQ}) as digest from t where length(text) >= 30""",
     "display_names": """select array_to_string(list_transform(string_split(object_class, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ') as shown,
