@@ -37,7 +37,10 @@ def stripped(text: Column) -> Column:
 
 def unmarked(text: Column) -> Column:
     """Without white space and marks for cutting at the end; only texts that end like a mark meet the pattern."""
-    bare = stripped(text)
+    return _unmarked(stripped(text))
+
+
+def _unmarked(bare: Column) -> Column:
     like = F.right(bare, F.lit(1)).isin("]", ">", ")", "…", "\ufffd") | F.endswith(bare, F.lit("..."))
     return F.when(like, stripped(F.regexp_replace(bare, CUT_MARKS, ""))).otherwise(bare)
 
@@ -45,7 +48,7 @@ def unmarked(text: Column) -> Column:
 def clauses(text: Column) -> Column:
     """The clauses of a text, each with its closing punctuation, empty ones left out; the first element is a mark for the beginning."""
     parts = F.split(text, r"(?<=[.,:|>()!?—;])\s+|[ \t\r]*\n\s*|(?<=;)")
-    return F.concat(F.array(F.lit("^")), F.filter(parts, lambda x: x != ""))
+    return F.concat(F.array(F.lit("^")), F.array_remove(parts, ""))
 
 
 def left_open(text: Column) -> Column:
@@ -126,34 +129,33 @@ def find_cut(values: DataFrame, threshold: float = 0.8, few: int = 6, keep_text:
     values = values.drop("going_share", "is_cut")
     text = F.col("text")
     rest = [c for c in values.columns if c not in ("kind", "text")]
-    is_json = F.contains(text, F.lit("{"))
-    head = F.substring_index(text, "{", 1)
-    whole = unmarked(text)
+    rows = values.select(*rest, "kind", "text", stripped(text).alias("__bare"))
+    # each of these is used more than once below, so it is a column of its own
+    rows = rows.select("*", _unmarked(F.col("__bare")).alias("__whole"), F.contains(text, F.lit("{")).alias("__json"))
+    whole, is_json = F.col("__whole"), F.col("__json")
+    rows = rows.select("*", F.when(is_json, left_open(whole)).alias("__open"), F.when(is_json, F.substring_index(text, "{", 1)).alias("__head"))
+    head = F.col("__head")
     # a fence that opens is no longer form of one that closes
     opening = F.replace(head, F.lit("```"), F.lit("~~~"))
     # what stands before a JSON object goes on; its clauses count with the prose of their kind
-    material = F.when(is_json, F.concat(opening, F.lit("\n{"))).otherwise(whole)
+    material = F.when(is_json, F.concat(opening, F.lit("\n{"))).otherwise(F.nullif(whole, F.lit("")))
     # an object that is closed goes on to its end, here a last brace of its own, so only those that stop inside count as ending there
     upto = F.length(whole) - F.length(F.substring_index(whole, "}", -1))
     inside = F.concat(
-        opening, F.when(left_open(whole), F.substring(whole, F.length(head) + 1, F.length(whole))).otherwise(F.concat(F.substring(whole, F.length(head) + 1, upto - F.length(head)), F.lit("\n}")))
+        opening, F.when(F.col("__open"), F.substring(whole, F.length(head) + 1, F.length(whole))).otherwise(F.concat(F.substring(whole, F.length(head) + 1, upto - F.length(head)), F.lit("\n}")))
     )
-    behind = clauses(masked(F.concat(F.lit("}\n"), F.substring_index(whole, "}", -1))))
+    behind = F.concat(F.lit("}\n"), F.substring_index(whole, "}", -1))
     opened = F.when(F.contains(head, F.lit("```")), F.lit("```")).otherwise(F.lit("^"))
-    tail = F.concat(F.array(opened), F.slice(behind, 2, F.size(behind)))
+    rows = rows.select("*", material.alias("__m"), F.when(is_json, inside).alias("__i"), F.when(is_json, behind).alias("__e"), F.when(is_json, opened).alias("__f"))
+    listed = lambda c: clauses(masked(F.col(c)))
+    rows = rows.select("*", listed("__e").alias("__b"))
     ready = staged(
-        values.select(
-            *rest,
-            "kind",
-            F.when(is_json, left_open(whole)).alias("__open"),
-            (whole != stripped(text)).alias("__marked"),
-            F.when(material != "", clauses(masked(material))).alias("__c"),
-            F.when(is_json, clauses(masked(inside))).alias("__j"),
-            F.when(is_json, tail).alias("__t"),
-            *([F.col("text")] if keep_text else []),
+        rows.select(
+            *rest, "kind", "__open", (whole != F.col("__bare")).alias("__marked"), listed("__m").alias("__c"), listed("__i").alias("__j"),
+            F.concat(F.array("__f"), F.slice("__b", 2, F.size("__b"))).alias("__t"), *(["text"] if keep_text else []),
         ),
         "clauses",
-    )
+    )
     # prose, the insides of objects and what stands behind them are evidence for their own sort only
     json_kind, tail_kind = F.concat("kind", F.lit("|inside")), F.concat("kind", F.lit("|behind"))
     lists = F.array(F.struct("kind", F.col("__c").alias("c")), F.struct(json_kind.alias("kind"), F.col("__j").alias("c")), F.struct(tail_kind.alias("kind"), F.when(~F.col("__open"), F.col("__t")).alias("c")))
