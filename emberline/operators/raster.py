@@ -40,7 +40,7 @@ def tile_grid(images: DataFrame, key: str, height: str, width: str, size: int, s
 
 
 def percentile_bounds(values: DataFrame, by: Sequence[str], value: str, low: float = 0.02, high: float = 0.98, nodata: float | None = None) -> DataFrame:
-    """by, lo, hi: exact percentiles with linear interpolation, ignoring NULL and values beyond `nodata`; a band without a value has none.
+    """by, lo, hi: exact percentiles with linear interpolation, ignoring NULL and values beyond `nodata`; NULL for a band without a value.
 
     Values are reduced to distinct ones with their counts and numbered by a distributed running total over (band, value), so no task holds a band; the
     two values around each percentile are then picked by their places.
@@ -67,8 +67,12 @@ def percentile_bounds(values: DataFrame, by: Sequence[str], value: str, low: flo
     for q in (low, high):
         lower = F.floor(F.lit(q) * (F.col("__all") - 1))
         wanted = wanted | ((F.col("__first") <= lower + 1) & (F.col("__last") >= lower))
-    found = placed.filter(wanted).groupBy(*by).agg(at(low).alias("lo"), at(high).alias("hi"))
-    return found
+    found = placed.filter(wanted).select(*[F.col(c).alias(f"__b{i}") for i, c in enumerate(by)], *[c for c in placed.columns if c.startswith("__")])
+    found = found.groupBy(*[f"__b{i}" for i in range(len(by))]).agg(at(low).alias("lo"), at(high).alias("hi"))
+    bands, on = values.select(*by).distinct(), F.lit(True)
+    for i, c in enumerate(by):
+        on = on & same(c, f"__b{i}")
+    return bands.join(found, on, "left").select(*by, "lo", "hi")
 
 
 def stretch(values: DataFrame, by: Sequence[str], value: str, nodata: float | None = None) -> DataFrame:
