@@ -74,4 +74,8 @@ def test_held_out_error(spark, sf):
     from emberline.llm import queries
 
     got = {r["lang"]: r for r in queries.p8_error(spark, sf).collect()}
-    assert got["en"]["correlation"] > 0.9 and got["en"]["mean_error"] < 2
+    # against always saying the mean; there are only some ninety documents here
+    seeds = [min(max(r["seed_grade"], -3.0), 40.0) for r in queries.p8_levels(spark, sf).filter("lang = 'en'").collect()]
+    mean = sum(seeds) / len(seeds)
+    spread = sum(abs(x - mean) for x in seeds) / len(seeds)
+    assert got["en"]["correlation"] > 0.9 and got["en"]["mean_error"] < 0.5 * spread
