@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.functions.text import graded_match
+from emberline.functions.text import contains_any
 from emberline.session import cut
 
 ZONES = ("Zone_0", "Zone_1", "Zone_2")
@@ -35,15 +35,26 @@ def scored_edges(
         raise ValueError(f"more than {MAX_OBJECTS} objects")
     if not taxonomy:
         return rules.select(F.lit("").alias("src"), F.col("rule_id").alias("dst"), F.lit(relation).alias("relation"), F.lit(0.0).alias("confidence")).limit(0)
+    # names and texts are lowered once, not for every pair
     listed = F.array(
         *[
-            F.struct(F.lit(o["object_class"]).alias("src"), F.array(*map(F.lit, o["aliases"] or [])).cast("array<string>").alias("aliases"))
+            F.struct(
+                F.lit(o["object_class"]).alias("src"), F.lit(o["object_class"].lower().replace("_", " ")).alias("name"),
+                F.array(*[F.lit(x.lower()) for x in o["aliases"] or [] if x is not None]).cast("array<string>").alias("aliases"),
+            )
             for o in taxonomy
+            if o["object_class"] is not None
         ]
-    )
-    rated = F.transform(
-        listed, lambda o: F.struct(o["src"].alias("src"), graded_match(F.col("text"), o["src"], o["aliases"], categories, floor).alias("confidence"))
-    )
+    )
+    rest = F.when(contains_any(F.col("text"), categories), 0.6).otherwise(floor)
+    rules = rules.select("rule_id", F.lower("text").alias("__low"), rest.alias("__rest"))
+    low = F.col("__low")
+
+    def confidence(o: Column) -> Column:
+        alias = F.exists(o["aliases"], lambda a: F.contains(low, a))
+        return F.when(F.contains(low, o["name"]), 1.0).when(F.coalesce(alias, F.lit(False)), 0.8).otherwise(F.col("__rest"))
+
+    rated = F.when(F.col("__rest").isNotNull(), F.transform(listed, lambda o: F.struct(o["src"].alias("src"), confidence(o).alias("confidence"))))
     kept = F.filter(rated, lambda x: x["confidence"] >= least)
     out = rules.select("rule_id", F.explode(kept).alias("m"))
     return out.select(F.col("m.src").alias("src"), F.col("rule_id").alias("dst"), F.lit(relation).alias("relation"), F.col("m.confidence").alias("confidence"))
