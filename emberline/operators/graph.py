@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 from emberline.functions.text import contains_any
 from emberline.session import cut
@@ -210,9 +212,32 @@ def best_edge(edges: DataFrame, order: str = "dst") -> DataFrame:
     return edges.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 
 
-def components(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+def _union_find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """v, u: each node and the least node of its component, of edges(v, u); least nodes have no row."""
+    parent: dict = {}
+    form = None
+    for frame in frames:
+        form = frame.iloc[:0]
+        for pair in zip(frame["v"].tolist(), frame["u"].tolist(), strict=True):
+            roots = []
+            for x in pair:
+                while (up := parent.setdefault(x, x)) != x:
+                    parent[x] = x = parent[up]
+                roots.append(x)
+            parent[max(roots)] = min(roots)
+    rows = []
+    for x in sorted(parent):  # a parent is less than its node, so it is at its root by then
+        parent[x] = parent[parent[x]]
+        if parent[x] != x:
+            rows.append((x, parent[x]))
+    if rows:
+        yield pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=form[c].dtype) for i, c in enumerate(("v", "u"))})
+
+
+def components(edges: DataFrame, ids: DataFrame | None = None, most: int = 500_000) -> DataFrame:
     """id, component (its least id), of undirected edges(src, dst).
 
+    Edges of whole numbers or strings are settled by a union-find in one task as soon as at most `most` are left, which often is at the start.
     Alternating star contraction: the large star of a node links its greater neighbours to the least of its neighbourhood,
     the small star links its lesser ones, until the edges are stars around their least id; few rounds even for long
     paths. Neighbourhoods are reduced to their least id by partial aggregation, and the join back to the edges of a hub
@@ -231,7 +256,11 @@ def components(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
 
     before = mark(star)
+    simple = all(isinstance(f.dataType, (IntegralType, StringType)) for f in star.schema)
     while True:
+        if simple and before[0] <= most:
+            star = star.coalesce(1).mapInPandas(_union_find, star.schema)
+            break
         both = star.unionByName(star.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy(F.col("v").alias("c")).agg(F.min("u").alias("m"))
         least = least.select("c", F.least("c", "m").alias("m"))
@@ -247,3 +276,55 @@ def components(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
         before = after
     roots = star.select(F.col("v").alias("__v"), F.col("u").alias("__u"))
     return nodes.distinct().join(roots, F.col("id") == F.col("__v"), "left").select("id", F.coalesce("__u", "id").alias("component"))
+
+
+def clusters(points: DataFrame, key: str, x: str, y: str, distance: float) -> DataFrame:
+    """id, component (its least id): points chained by steps of at most `distance`, the components of joins.band_pairs without its pairs.
+
+    Points fall into square cells whose diagonal is below the distance, so those of a cell belong together and the graph is one of cells: its
+    size follows the cells that are filled, however many points lie in each. Two cells at most two apart are linked where the points of both that
+    lie farthest towards the other are near enough. Only cells that no chain of such links joins are compared point by point, and of their points those
+    within reach of the other cell's box. Points with a NULL, NaN or infinite coordinate are alone; NULL keys leave; a key that occurs twice joins its places.
+    Coordinates of 2^50 cells or more are an error, as doubles no longer tell the places in a cell apart.
+    """
+    if distance <= 0:
+        raise ValueError("distance must be positive")
+    size = 0.7 * distance
+    every = points.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("id is not null")
+    real = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
+    at = lambda c: F.when(F.abs(F.col(c) / size) < 2.0**50, F.floor(F.col(c) / size)).otherwise(F.raise_error(F.lit("coordinate too large for the distance")).cast("long"))
+    every = every.withColumn("cx", F.when(real, at("x"))).withColumn("cy", F.when(real, at("y")))
+    placed = every.filter("cx is not null")
+    ways = (F.col("x"), F.col("y"), F.col("x") + F.col("y"), F.col("x") - F.col("y"))
+    spot = F.struct("x", "y")
+    cells = cut(placed.groupBy("cx", "cy").agg(
+        F.min("id").alias("node"), F.array(*[F.max_by(spot, w) for w in ways]).alias("last"), F.array(*[F.min_by(spot, w) for w in ways]).alias("first")
+    ))
+    box = lambda tag: [F.col("first")[0]["x"].alias(f"{tag}x0"), F.col("last")[0]["x"].alias(f"{tag}x1"), F.col("first")[1]["y"].alias(f"{tag}y0"), F.col("last")[1]["y"].alias(f"{tag}y1")]
+    # each two cells once: to the right, or straight up; `way` is the direction in which the second lies
+    steps = [(i, j, 0 if j == 0 else 1 if i == 0 else 2 if j > 0 else 3) for i in range(3) for j in range(-2, 3) if i > 0 or j > 0]
+    step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(w).alias("way")) for i, j, w in steps]))
+    left = cells.select("*", step.alias("s")).select(
+        F.col("node").alias("a"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), *box("a"), F.col("last")[F.col("s.way")].alias("p"), F.col("s.way").alias("way"),
+        (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"),
+    )
+    met = left.join(cells.select("cx", "cy", F.col("node").alias("b"), *box("b"), "first"), ["cx", "cy"])
+    gap = lambda c: F.greatest(F.col(f"b{c}0") - F.col(f"a{c}1"), F.col(f"a{c}0") - F.col(f"b{c}1"), F.lit(0.0))
+    near = lambda dx, dy: dx * dx + dy * dy <= distance * distance
+    q = F.col("first")[F.col("way")]
+    met = met.filter(near(gap("x"), gap("y"))).withColumn("sure", near(F.col("p.x") - q["x"], F.col("p.y") - q["y"])).drop("p", "way", "first")
+    met = cut(met.withColumnsRenamed({"cx": "bx", "cy": "by"}))
+    spread = placed.groupBy("id").agg(*[f(c).alias(f"{n}{c}") for c in ("cx", "cy") for n, f in (("l", F.min), ("h", F.max))]).filter("lcx <> hcx or lcy <> hcy")
+    twice = placed.join(spread, "id", "left_semi").join(cells.select("cx", "cy", "node"), ["cx", "cy"]).select(F.col("id").alias("src"), F.col("node").alias("dst"))
+    linked = cut(components(met.filter("sure").select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(twice), cells.select(F.col("node").alias("id"))))
+    of = lambda tag: linked.select(F.col("id").alias(tag), F.col("component").alias(f"{tag}_component"))
+    apart = cut(met.filter("not sure").join(of("a"), "a").join(of("b"), "b").filter("a_component <> b_component"))
+    if apart.limit(1).count():
+        pick = lambda tag: placed.select(F.col("cx").alias(f"{tag}x"), F.col("cy").alias(f"{tag}y"), F.col("x").alias(f"{tag}px"), F.col("y").alias(f"{tag}py"))
+        away = lambda tag, c, other: F.greatest(F.col(f"{other}{c}0") - F.col(f"{tag}p{c}"), F.col(f"{tag}p{c}") - F.col(f"{other}{c}1"), F.lit(0.0))
+        tried = apart.join(pick("a"), ["ax", "ay"]).filter(near(away("a", "x", "b"), away("a", "y", "b"))).join(pick("b"), ["bx", "by"])
+        tried = tried.filter(near(F.col("apx") - F.col("bpx"), F.col("apy") - F.col("bpy"))).select(F.col("a_component").alias("src"), F.col("b_component").alias("dst"))
+        more = components(cut(tried.distinct())).select(F.col("id").alias("component"), F.col("component").alias("__whole"))
+        linked = linked.join(more, "component", "left").select("id", F.coalesce("__whole", "component").alias("component"))
+    of_cell = cells.select("cx", "cy", "node").join(linked.select(F.col("id").alias("node"), "component"), "node").select("cx", "cy", "component")
+    return every.join(of_cell, ["cx", "cy"], "left").groupBy("id").agg(F.coalesce(F.min("component"), "id").alias("component"))

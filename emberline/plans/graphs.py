@@ -217,8 +217,7 @@ def components(spark: SparkSession, sf: str) -> DataFrame:
 def cluster_extent(spark: SparkSession, sf: str) -> DataFrame:
     """Extent, grown by 10 and clipped to the area, centre and size of each cluster."""
     p = _points(spark, sf)
-    pairs = joins.band_pairs(p, "id", "x", "y", 150.0).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
-    c = graph.components(pairs, p).join(p, "id")
+    c = graph.clusters(p, "id", "x", "y", 150.0).join(p, "id")
     return c.groupBy("component").agg(
         F.count("*").alias("n"), F.greatest(F.min("x") - 10, F.lit(-999.0)).alias("x0"), F.least(F.max("x") + 10, F.lit(9999.0)).alias("x1"),
         F.greatest(F.min("y") - 10, F.lit(0.0)).alias("y0"), F.least(F.max("y") + 10, F.lit(9973.0)).alias("y1"), F.round(F.avg("y"), 4).alias("cy"),
