@@ -210,8 +210,7 @@ def band_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def components(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = joins.band_pairs(_points(spark, sf), "id", "x", "y", 150.0).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
-    return graph.components(pairs, _points(spark, sf))
+    return graph.clusters(_points(spark, sf), "id", "x", "y", 150.0)
 
 
 def cluster_extent(spark: SparkSession, sf: str) -> DataFrame:

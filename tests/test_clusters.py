@@ -119,3 +119,12 @@ def test_cluster_extent_forms_no_pairs(spark, tmp_path):
     assert names == ["component", "n", "x0", "x1", "y0", "y1", "cy"] and got == [want[0], want[1]]
     assert rows_written(spark, held) < 100  # the pairs would be four million
     release(spark, held)
+
+
+def test_components_query_forms_no_pairs(spark, tmp_path):
+    folder, n = dense(spark, tmp_path)
+    held = len(written(spark))
+    got = {r["id"]: r["component"] for r in graphs.components(spark, folder).collect()}
+    assert got == {k * 9973: 0 for k in range(n)} | {1: 1}
+    assert rows_written(spark, held) < 100
+    release(spark, held)
